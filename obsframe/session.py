@@ -20,3 +20,14 @@ def local_session(cpus: int | str = 8, name: str = "obsframe", **conf: str) -> S
         "spark.local.dir": os.environ.get("TMPDIR", "/tmp"),
     } | conf
     return SparkSession.builder.master(f"local[{cpus}]").appName(name).config(map=settings).getOrCreate()
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver does.
+
+    On a cluster ship it with --py-files; there this changes nothing.
+    """
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if here not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [here, paths]))
