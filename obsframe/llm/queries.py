@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsframe.llm import language_id, quality
+from obsframe.llm import language_id, line_dedup, quality
 from obsframe.llm.common import documents, fold
+from obsframe.llm.decontamination import find_overlaps
 from obsframe.llm.packing import pack
 from obsframe.llm.simhash import near_duplicates
 from obsframe.llm.token_counts import token_counts
@@ -32,6 +33,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_char")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that overlap."""
+    docs, benchmark = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = find_overlaps(docs.select("doc_id", "text"), benchmark)
+    return found.select("doc_id", F.inline("overlaps"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -44,6 +52,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.CUT_SCORE).cast("int").alias("predicted"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_recurring_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
@@ -52,12 +65,15 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
+    "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
+    "op9_line_dedup": op9_line_dedup,
     "op10_top_k": op10_top_k,
 }
 
 SQL = {
+    "op9_line_dedup": line_dedup.SQL.format(docs="documents", least=line_dedup.LEAST_DOCUMENTS),
     "op10_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
