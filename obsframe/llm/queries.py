@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsframe.llm import language_id, line_dedup, quality
+from obsframe.llm import language_id, language_model, line_dedup, quality
 from obsframe.llm.common import documents, fold
 from obsframe.llm.decontamination import find_overlaps
 from obsframe.llm.packing import pack
@@ -52,6 +52,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.CUT_SCORE).cast("int").alias("predicted"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 7) == 2
+    scored = language_model.score_texts(documents(spark, sf_dir), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.drop_recurring_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
@@ -68,6 +74,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
+    "op8_language_model": op8_language_model,
     "op9_line_dedup": op9_line_dedup,
     "op10_top_k": op10_top_k,
 }
