@@ -9,8 +9,7 @@ the next lower reciprocal. Every task packs its own rows; no row moves.
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +23,6 @@ from obsframe.llm.common import Memo, field, slices, texts_of
 MEMO_ENTRIES = 600_000
 #: Pieces this short go whole into their class: the loss is below one token in sixteen of a short piece.
 SHORT = 64
-#: White space beside white space or at an end: such a text is encoded as one piece.
-_UNEVEN = re.compile(r"\s\s|^\s|\s$")
 #: Words encoded in one call.
 CALL = 200
 
@@ -39,41 +36,64 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives this task one core
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if self.tokenizer.normalizer or type(self.tokenizer.pre_tokenizer) is not pre_tokenizers.ByteLevel:
+            raise ValueError("texts can be cut at spaces for byte-level files without normaliser only")
+        space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
         self.leads = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.leads[[i for s, i in self.tokenizer.get_vocab().items() if s[0] == "Ġ"]] = True
+        self.leads[[i for s, i in self.tokenizer.get_vocab().items() if s[0] == space]] = True
         self.line_end = self._ids(["\n"])[0]
-        self.heads, self.rests = Memo(MEMO_ENTRIES // 4, self._ids), Memo(MEMO_ENTRIES, self._words)
+        self.heads = Memo(MEMO_ENTRIES // 4, self._line_heads)
+        self.rests = Memo(MEMO_ENTRIES, self._spaced)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if _UNEVEN.search(t) or any(s in t for s in self.special)]
-        for i, ids in zip(odd, self._ids([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        even = [i for i in range(len(texts)) if out[i] is None]
-        split = [[line.split(" ") for line in texts[i].split("\n")] for i in even]
-        heads = self.heads.over({line[0] for lines in split for line in lines})
-        rests = self.rests.over({w for lines in split for line in lines for w in line[1:]}).__getitem__
-        for i, lines in zip(even, split, strict=True):
-            out[i] = self.line_end.join([heads[line[0]] + b"".join(map(rests, line[1:])) for line in lines])
+        split, heads, rests = [], set(), set()
+        for text in texts:
+            lines = []
+            for line in text.split("\n") if text else ():
+                head, *rest = line.split(" ")
+                heads.add(head)
+                rests.update(rest)
+                lines.append((head, rest))
+            split.append(lines)
+        head_ids, rest_ids = self.heads.over(heads), self.rests.over(rests).__getitem__
+        out: list[bytes] = []
+        for text, lines in zip(texts, split, strict=True):
+            try:
+                if any(s in text for s in self.special):
+                    raise TypeError
+                out.append(self.line_end.join([head_ids[head] + b"".join(map(rest_ids, rest)) for head, rest in lines]))
+            except TypeError:  # a special string, or None for a word beside more white space
+                out += self._ids([text])
         return out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Each word with the space before it. Many go in one call; a token that opens with a space opens a word."""
-        out: list[bytes] = []
-        for k in range(0, len(words), CALL):
-            part = words[k : k + CALL]
-            (ids,) = self._ids([" " + " ".join(part)])
-            at = (4 * np.flatnonzero(self.leads[np.frombuffer(ids, "<u4")])).tolist()
-            out += [ids[a:b] for a, b in zip(at, [*at[1:], len(ids)], strict=True)]
-        return out
+    def _spaced(self, words: list[str]) -> list[bytes | None]:
+        """Each word with the space before it; a token that opens with a space opens a word."""
+        return self._together(words, " ", lambda ids: self.leads[ids], 0)
+
+    def _line_heads(self, words: list[str]) -> list[bytes | None]:
+        """Each word by itself, with a line end before it that is then taken off."""
+        end = int(np.frombuffer(self.line_end, "<u4")[0])
+        return self._together(words, "\n", lambda ids: ids == end, 4)
+
+    def _together(self, words: list[str], before: str, opens: Callable, skip: int) -> list[bytes | None]:
+        """Ids of each word, many in one call; None for a word that is empty or has white space at an end."""
+        good = [w for w in words if w and not (w[0].isspace() or w[-1].isspace())]
+        found: dict[str, bytes] = {}
+        for k in range(0, len(good), CALL):
+            part = good[k : k + CALL]
+            (ids,) = self._ids([before + before.join(part)])
+            at = (4 * np.flatnonzero(opens(np.frombuffer(ids, "<u4")))).tolist()
+            for w, a, b in zip(part, at, [*at[1:], len(ids)], strict=True):
+                found[w] = ids[a + skip : b]
+        return [found.get(w) for w in words]
 
 
 def tail_lengths(rest: int, capacity: int) -> list[int]:
