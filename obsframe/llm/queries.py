@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsframe.llm import language_id, language_model, line_dedup, quality
+from obsframe.llm import language_id, language_model, line_dedup, quality, substring_dedup
 from obsframe.llm.common import documents, fold
 from obsframe.llm.decontamination import find_overlaps
 from obsframe.llm.packing import pack
@@ -33,6 +33,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_char")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and benchmark item that overlap."""
     docs, benchmark = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -71,6 +75,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
@@ -80,6 +85,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_substring_dedup": substring_dedup.SQL,
     "op9_line_dedup": line_dedup.SQL.format(docs="documents", least=line_dedup.LEAST_DOCUMENTS),
     "op10_top_k": """
         WITH v AS (
