@@ -24,7 +24,7 @@ def read_days(spark: SparkSession, path: str, first: str | None = None, last: st
 
 #: Options under which text formats give back what was written: nulls and empty texts apart, whole microseconds.
 _TIME = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-_OPTIONS = {"csv": {"header": "true", "escape": '"', "nullValue": "\\N", "emptyValue": "", **_TIME}, "json": _TIME, "orc": {}, "parquet": {}}
+_OPTIONS = {"csv": {"header": "true", "escape": '"', "nullValue": "\\N", **_TIME}, "json": _TIME, "orc": {}, "parquet": {}}
 
 
 def export(df: DataFrame, path: str, kind: str) -> None:
