@@ -9,6 +9,7 @@ the next lower reciprocal. Every task packs its own rows; no row moves.
 from __future__ import annotations
 
 import os
+import string
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,6 +50,7 @@ class Encoder:
         self.line_end = self._ids(["\n"])[0]
         self.heads = Memo(MEMO_ENTRIES // 4, self._line_heads)
         self.rests = Memo(MEMO_ENTRIES, self._spaced)
+        self.ends = Memo(MEMO_ENTRIES // 4, self._ids)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split, heads, rests = [], set(), set()
@@ -75,8 +77,14 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _spaced(self, words: list[str]) -> list[bytes | None]:
-        """Each word with the space before it; a token that opens with a space opens a word."""
-        return self._together(words, " ", lambda ids: self.leads[ids], 0)
+        """Each word with the space before it; a token that opens with a space opens a word. The
+        pre-tokeniser parts letters from punctuation behind them, so known letters aren't encoded again."""
+        young, old = self.rests.young, self.rests.old
+        core = {w: c for w in words if len(c := w.rstrip(string.punctuation)) < len(w) and c.isalpha()}
+        todo = list({c for w in words if (c := core.get(w, w)) not in young and c not in old})
+        found = dict(zip(todo, self._together(todo, " ", lambda ids: self.leads[ids], 0), strict=True))
+        ends = self.ends.over({w[len(c) :] for w, c in core.items()})
+        return [found.get(w) if (c := core.get(w)) is None else (found.get(c) or young.get(c) or old[c]) + ends[w[len(c) :]] for w in words]
 
     def _line_heads(self, words: list[str]) -> list[bytes | None]:
         """Each word by itself, with a line end before it that is then taken off."""
