@@ -18,7 +18,7 @@ def reduce(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFram
     """Count, mean, median, min, max and sample standard deviation of the values that aren't null."""
     return df.groupBy(*keys).agg(
         F.count(value).alias("n"),
-        F.round(exact_mean(value), 6).alias("mean"),
+        exact_mean(value).alias("mean"),
         F.round(F.percentile(value, F.lit(0.5)), 6).alias("median"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
@@ -37,12 +37,12 @@ def reduce_zones(df: DataFrame, zones: DataFrame, site: str, zone: str, keys: Se
     site_sums = df.groupBy(site, *keys).agg(F.count(value).alias("n"), F.sum(F.col(value).cast(EXACT)).alias("s"))
     joined = site_sums.join(zones.select(site, zone), site)
     total = F.sum("s").cast("double")
-    return joined.groupBy(zone, *keys).agg(F.sum("n").alias("n"), total.alias("total"), F.round(F.try_divide(total, F.sum("n").cast("double")), 6).alias("mean"))
+    return joined.groupBy(zone, *keys).agg(F.sum("n").alias("n"), total.alias("total"), F.try_divide(total, F.sum("n").cast("double")).alias("mean"))
 
 
 def resample(df: DataFrame, unit: str, keys: Sequence[str] = (), time: str = "ts", value: str = "value") -> DataFrame:
     """Count and mean per step of `unit` (day, week, month, ...)."""
-    return df.groupBy(F.date_trunc(unit, time).cast("timestamp_ntz").alias("step"), *keys).agg(F.count(value).alias("n"), F.round(exact_mean(value), 6).alias("mean"))
+    return df.groupBy(F.date_trunc(unit, time).cast("timestamp_ntz").alias("step"), *keys).agg(F.count(value).alias("n"), exact_mean(value).alias("mean"))
 
 
 def sliding(df: DataFrame, size: str, step: str, keys: Sequence[str] = (), time: str = "ts", value: str = "value") -> DataFrame:
@@ -71,7 +71,7 @@ def to_wide(df: DataFrame, keys: Sequence[str], bands: Sequence[str], band: str
 def norm_diff(df: DataFrame, keys: Sequence[str], a: str, b: str, band: str = "event_type", value: str = "value") -> DataFrame:
     """(a - b) / (a + b) of two bands' sums per group; null where a band is missing or the sum is zero."""
     wide = to_wide(df.where(F.col(band).isin(a, b)), keys, [a, b], band, value)
-    return wide.select(*keys, F.round(F.try_divide(F.col(a) - F.col(b), F.col(a) + F.col(b)), 6).alias("norm_diff"))
+    return wide.select(*keys, F.try_divide(F.col(a) - F.col(b), F.col(a) + F.col(b)).alias("norm_diff"))
 
 
 def trend(df: DataFrame, keys: Sequence[str], time: str = "ts", value: str = "value") -> DataFrame:
@@ -85,4 +85,4 @@ def anomaly(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFra
     """The value less the mean of its group. The groups' means are joined back: groups may be few and
     large, and a window over them would put each into one task."""
     means = df.groupBy(*keys).agg(exact_mean(value).alias("_mean"))
-    return df.join(means, list(keys)).withColumn("anomaly", F.round(F.col(value) - F.col("_mean"), 6)).drop("_mean")
+    return df.join(means, list(keys)).withColumn("anomaly", F.col(value) - F.col("_mean")).drop("_mean")

@@ -35,7 +35,7 @@ def interpolate(grid: DataFrame, series: DataFrame, site: str, value: str = "val
     rows = rows.withColumn("_a", F.last(known, ignorenulls=True).over(back)).withColumn("_b", F.first(known, ignorenulls=True).over(ahead))
     share = F.try_divide(F.datediff("day", "_a.day").cast("double"), F.datediff("_b.day", "_a.day").cast("double"))
     line = F.col(f"_a.{value}") + (F.col(f"_b.{value}") - F.col(f"_a.{value}")) * share
-    return rows.select(site, "day", F.round(F.coalesce(value, line), 6).alias(value))
+    return rows.select(site, "day", F.coalesce(value, line).alias(value))
 
 
 def missing(grid: DataFrame, series: DataFrame, site: str) -> DataFrame:

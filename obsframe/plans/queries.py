@@ -62,7 +62,7 @@ def site_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT r_name AS zone, event_type, count(value)::BIGINT AS n, sum(value::DECIMAL(18,6))::DOUBLE AS total,
-    round(sum(value::DECIMAL(18,6))::DOUBLE / count(value), 6) AS mean
+    sum(value::DECIMAL(18,6))::DOUBLE / count(value) AS mean
     FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
     WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25' GROUP BY ALL""")
 def c07_reduce_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ def c05_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return space.within(points(spark, sf_dir), edges, "vec_id")
 
 
-@query("""SELECT user_id, event_type, count(value)::BIGINT AS n, round(sum(value::DECIMAL(18,6))::DOUBLE / count(value), 6) AS mean,
+@query("""SELECT user_id, event_type, count(value)::BIGINT AS n, sum(value::DECIMAL(18,6))::DOUBLE / count(value) AS mean,
     round(quantile_cont(value, 0.5), 6) AS median, min(value) AS min, max(value) AS max, round(stddev_samp(value), 6) AS sd
     FROM events GROUP BY user_id, event_type""")
 def c06_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ def c06_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT date_trunc('day', ts)::TIMESTAMP AS step, event_type, count(value)::BIGINT AS n,
-    round(sum(value::DECIMAL(18,6))::DOUBLE / count(value), 6) AS mean FROM events GROUP BY ALL""")
+    sum(value::DECIMAL(18,6))::DOUBLE / count(value) AS mean FROM events GROUP BY ALL""")
 def c08_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.resample(events(spark, sf_dir), "day", ["event_type"])
 
@@ -149,7 +149,7 @@ def c13_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.histogram(events(spark, sf_dir), ["event_type"], 5.0)
 
 
-@query("""SELECT user_id, round((a - b) / nullif(a + b, 0), 6) AS norm_diff FROM (SELECT user_id,
+@query("""SELECT user_id, (a - b) / nullif(a + b, 0) AS norm_diff FROM (SELECT user_id,
     sum(value::DECIMAL(18,6)) FILTER (event_type = 'view')::DOUBLE AS a, sum(value::DECIMAL(18,6)) FILTER (event_type = 'click')::DOUBLE AS b
     FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id)""")
 def c14_norm_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +188,7 @@ def c18_moving(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT event_type, dayofweek(ts) AS d, sum(value::DECIMAL(18,6))::DOUBLE / count(value) AS mean FROM events GROUP BY ALL)
-    SELECT event_id, value, round(value - mean, 6) AS anomaly FROM events e JOIN m ON e.event_type = m.event_type AND dayofweek(e.ts) = m.d""")
+    SELECT event_id, value, value - mean AS anomaly FROM events e JOIN m ON e.event_type = m.event_type AND dayofweek(e.ts) = m.d""")
 def c19_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     dated = events(spark, sf_dir).withColumn("weekday", F.dayofweek("ts"))
     return reduce.anomaly(dated, ["event_type", "weekday"]).select("event_id", "value", "anomaly")
@@ -339,7 +339,7 @@ def s08_running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         max(CASE WHEN value IS NOT NULL THEN day END) OVER (PARTITION BY user_id ORDER BY day) AS da,
         min(CASE WHEN value IS NOT NULL THEN day END) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS db
         FROM grid LEFT JOIN s USING (user_id, day))
-    SELECT b.user_id, b.day::VARCHAR AS day, round(coalesce(b.value, a.value + (c.value - a.value) * (date_diff('day', da, b.day)::DOUBLE / nullif(date_diff('day', da, db), 0)::DOUBLE)), 6) AS value
+    SELECT b.user_id, b.day::VARCHAR AS day, coalesce(b.value, a.value + (c.value - a.value) * (date_diff('day', da, b.day)::DOUBLE / nullif(date_diff('day', da, db), 0)::DOUBLE)) AS value
     FROM b LEFT JOIN s a ON a.user_id = b.user_id AND a.day = da LEFT JOIN s c ON c.user_id = b.user_id AND c.day = db""")
 def u01_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return day_text(series.interpolate(*grid_and_series(spark, sf_dir), "user_id"))
