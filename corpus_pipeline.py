@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsframe.llm import language_id
-from obsframe.llm.common import documents, fold, use_checkpoint_dir
+from obsframe.llm.common import documents, fold, free_name, use_checkpoint_dir
 from obsframe.llm.decontamination import find_overlaps
 from obsframe.llm.line_dedup import drop_recurring_lines
 from obsframe.llm.packing import pack
@@ -25,9 +25,11 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Documents whose language can be told go on, with the predicted language as `lang`; those without a
     letter (`und`; null and empty texts too) go."""
     model = language_id.fit(docs, fold("doc_id", 3) != 1)
-    found = language_id.identify_language(docs, model, prefix="_")
-    kept = found.where(F.col("_lang_pred") != language_id.UNDETERMINED)
-    return kept.select(*(F.col("_lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns))
+    prefix = next(p for k in range(1, 99) if not any(c.startswith(p := "_" * k) for c in docs.columns))
+    found = language_id.identify_language(docs, model, prefix=prefix)
+    predicted = F.col(f"{prefix}lang_pred")
+    kept = found.where(predicted != language_id.UNDETERMINED)
+    return kept.select(*(predicted.alias(c) if c == "lang" else F.col(c) for c in docs.columns))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +51,9 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
-    found = find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), result="_overlaps")
-    return found.where(F.size("_overlaps") == 0).select(*docs.columns)
+    result = free_name(docs, "_overlaps")
+    found = find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), result=result)
+    return found.where(F.size(result) == 0).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,13 @@ def field(df: DataFrame, name: str, alias: str | None = None) -> T.StructField:
     return T.StructField(alias or name, df.schema[name].dataType, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, led by as many underscores as it takes not to clash with a column of `df`."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 def fold(id_col: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo `modulus`; null ids count as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -126,7 +126,7 @@ def test_components(spark):
 def test_lines(spark):
     shared = "Page 12 of the report\nAll rights   reserved.\n\nown "
     texts = [(k, shared.replace("12", str(k)) + f"line {'x' * k}") for k in range(1, 5)] + [(5, None), (6, ""), (None, "All rights reserved."), (1, "All rights reserved.")]
-    got = drop_recurring_lines(frame(spark, texts).withColumn("n_dropped", F.lit("clash")), least_documents=3).collect()
+    got = drop_recurring_lines(frame(spark, texts).withColumns({c: F.lit("clash") for c in ("n_dropped", "_id", "_text", "_gone", "_t")}), least_documents=3).collect()
     kept = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got), key=str)
     want = [(1, texts[0][1], 4, 0), (1, "All rights reserved.", 1, 0), (5, None, 0, 0), (6, "", 1, 0), (None, "", 1, 1)]
     want += [(k, f"\nown line {'x' * k}", 4, 2) for k in (2, 3, 4)]
@@ -246,7 +246,7 @@ def test_pipeline_edges(spark, tmp_path):
     bench = tmp_path / "in"
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(bench / "benchmark.parquet"))
     for texts in ([], TEXTS):
-        docs = frame(spark, texts)
+        docs = frame(spark, texts).withColumns({c: F.lit("clash") for c in ("_id", "_overlaps", "_lang_pred", "component_id", "n_lines", "sequence_id")})
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, str(bench))
         docs.collect()
