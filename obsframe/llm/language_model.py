@@ -1,15 +1,18 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
 log p(word | history) = log p(class | history) + log p(word | class). The class
-part is a softmax over a few classes, linear in features of the history: hashed
-previous words (n-grams and skips) and the classes at several distances. It is
+part is a softmax over a few classes, linear in features of the history: the
+hashed word before, the pair of classes before, and the pair that a skip over those reaches. It is
 trained by gradient steps in every task, whose weights are averaged after each
 round. The word part comes from the counts of the whole training corpus.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +25,20 @@ from obsframe.llm.common import Memo, cut, field, slices, texts_of
 #: The most frequent words, whose counts are broadcast; this bounds the broadcast, other counts are joined.
 HEAD_WORDS = 100_000
 #: Classes: one for each of the most frequent words (the end of a text among them), the rest by how a word ends.
-SINGLE = 16
-CLASSES = 64
-#: Rows of weights for hashed words, and how far back classes are looked at.
+SINGLE = 10
+CLASSES = 32
+#: Rows of weights for the hashed word before, and for each pair of classes.
 BUCKETS = 1 << 13
-REACH = 4
+PAIRS = (CLASSES + 1) ** 2
 ROUNDS = 2
 #: Tokens in one gradient step, and its size.
-STEP = 4096
+STEP = 16_384
 RATE = 0.15
 #: The end of a text, as a token; no word holds white space.
 END = b"\n"
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 250_000
+#: Distinct words that a task counts before it hands the counts on.
+COUNTED = 500_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -44,18 +49,17 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
     """(word, n) over all texts; each task sums up what it holds before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, int] = {}
+        counts: Counter = Counter()
         for batch in slices(batches, "_text"):
             for text in texts_of(batch, "_text"):
-                for w in tokens(text):
-                    counts[w] = counts.get(w, 0) + 1
-            if len(counts) > MEMO_ENTRIES:
+                counts.update(tokens(text))
+            if len(counts) > COUNTED:
                 yield flush(counts)
-                counts = {}
+                counts = Counter()
         if counts:
             yield flush(counts)
 
-    def flush(counts: dict[bytes, int]) -> pa.RecordBatch:
+    def flush(counts: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
     partial = df.select(F.col(text_col).alias("_text")).mapInArrow(run, "word binary, n long")
@@ -76,13 +80,12 @@ class Vocabulary:
 
     def word_class(self, w: bytes) -> int:
         k = self.single.get(w)
-        return SINGLE + int.from_bytes(w[-2:], "little") * 40503 % 65521 % (CLASSES - SINGLE) if k is None else k
+        return SINGLE + crc32(w[-2:]) % (CLASSES - SINGLE) if k is None else k
 
-    def entry(self, w: bytes) -> tuple[int, int, int]:
-        """Class, bucket of the hashed word, and its count if it is a head word (else -1)."""
-        from xxhash import xxh32_intdigest
-
-        return self.word_class(w), xxh32_intdigest(w) % BUCKETS, self.count.get(w, -1)
+    def entries(self, words: list[bytes]) -> list[int]:
+        """For each word one number: class (8 bits), bucket of the hashed word (16), and 1 more than its count, or 0 outside the head."""
+        single, count = self.single, self.count
+        return [single.get(w, SINGLE + crc32(w[-2:]) % (CLASSES - SINGLE)) | crc32(w) % BUCKETS << 8 | (count.get(w, -1) + 1) << 24 for w in words]
 
     def log_class_size(self) -> np.ndarray:
         """log10 of what word counts plus one are divided by; a class of one word is that word."""
@@ -91,6 +94,20 @@ class Vocabulary:
         return np.log10(size)
 
 
+def head_words(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The most frequent words, HEAD_WORDS at most, sorted. The least count among them is read off a histogram
+    of logarithms, so no task or driver gathers more than that many; words of the count at the edge stay out together."""
+    step = F.floor(F.log2("n") * 32)
+    left, least = HEAD_WORDS, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        left -= r.words
+        if left < 0:
+            break
+        least = r.step
+    rows = counts.where(step >= least).collect() if least is not None else []
+    return sorted(((bytes(r.word), r.n) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def class_totals(counts: DataFrame, vocabulary: Vocabulary) -> None:
     """Fill in tokens and types of each class, over all words: CLASSES rows a task at most."""
     sent = counts.sparkSession.sparkContext.broadcast(vocabulary)
@@ -114,53 +131,57 @@ class Encoded:
         split = [tokens(t) for t in texts]
         entries = memo.over(set().union(*split)).__getitem__
         sizes = np.array([len(w) for w in split], np.int64)
-        table = np.array([e for w in split for e in map(entries, w)], np.int64).reshape(-1, 3)
+        table = np.fromiter(map(entries, chain.from_iterable(split)), np.int64, int(sizes.sum()))
         self.split, self.sizes = split, sizes
-        self.classes, self.count = table[:, 0], table[:, 2]
-        place = np.arange(len(table)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.classes, self.count = table & 0xFF, (table >> 24) - 1
         self.document = np.repeat(np.arange(len(split)), sizes)
-        self.features = self._features(table[:, 1], place)
+        place = np.arange(len(table)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.features = self._features(table >> 8 & 0xFFFF, place)
 
-    def _features(self, bucket: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Rows of the weights that are added up for each token; the row behind the last is the bias."""
+    def _features(self, bucket: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+        """For each weight table the rows of all tokens: the word before, the two classes before, and
+        (skipping those) the two classes before them."""
 
         def back(values: np.ndarray, d: int, none: int) -> np.ndarray:
-            out = np.full(len(values), none, np.int64)
-            out[d:] = np.where(place[d:] >= d, values[:-d] if d else values, none)
+            out = np.full(len(values), none, np.int16)
+            out[d:] = np.where(place[d:] >= d, values[:-d], none)
             return out
 
-        one, two = back(bucket, 1, 0), back(bucket, 2, 0)
-        hashed = [one, (one * 31337 + two * 7919 + 17) % BUCKETS, (two * 65599 + 3) % BUCKETS]
-        classes = [BUCKETS + (d - 1) * (CLASSES + 1) + back(self.classes, d, CLASSES) for d in range(1, REACH + 1)]
-        return np.stack([*hashed, *classes], 1)
+        c = [back(self.classes, d, CLASSES) for d in range(1, 5)]
+        return [back(bucket, 1, 0), c[0] * np.int16(CLASSES + 1) + c[1], c[2] * np.int16(CLASSES + 1) + c[3]]
 
 
-ROWS = BUCKETS + REACH * (CLASSES + 1) + 1
+#: First row of each table, and of the bias behind them.
+TABLES = (0, BUCKETS, BUCKETS + PAIRS)
+ROWS = BUCKETS + 2 * PAIRS + 1
 
 
-def class_log_probabilities(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    z = weights[ROWS - 1] + weights[features[:, 0]]
-    for j in range(1, features.shape[1]):
-        z += weights[features[:, j]]
+def class_log_probabilities(weights: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
+    z = weights[TABLES[0] :].take(features[0], axis=0)
+    for start, rows in zip(TABLES[1:], features[1:], strict=True):
+        z += weights[start:].take(rows, axis=0)
+    z += weights[ROWS - 1]
     z -= z.max(1, keepdims=True)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
-def gradient_steps(weights: np.ndarray, spread: np.ndarray, features: np.ndarray, classes: np.ndarray) -> None:
+def gradient_steps(weights: np.ndarray, spread: np.ndarray, features: list[np.ndarray], classes: np.ndarray) -> None:
     """Steps over all tokens given, STEP at a time; `spread` holds each row's sum of squared slopes."""
     for at in range(0, len(classes), STEP):
-        f, c = features[at : at + STEP], classes[at : at + STEP]
-        slope = np.exp(class_log_probabilities(weights, f))
+        part, c = [f[at : at + STEP] for f in features], classes[at : at + STEP]
+        slope = np.exp(class_log_probabilities(weights, part))
         slope[np.arange(len(c)), c] -= 1
-        for j in range(f.shape[1]):
-            order = np.argsort(f[:, j], kind="stable")
-            row = f[order, j]
+        for first, rows in zip(TABLES, part, strict=True):
+            order = np.argsort(rows, kind="stable")
+            row = rows[order]
             start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            total = np.add.reduceat(slope[order], start, axis=0)
-            row = row[start]
+            # differences of running sums: many short groups, where reduceat is slow
+            running = np.cumsum(slope.take(order, axis=0), axis=0)[np.r_[start[1:], len(row)] - 1]
+            total = np.diff(running, axis=0, prepend=np.float32(0))
+            row = row[start].astype(np.int64) + first
             spread[row] += np.square(total).mean(1)
-            weights[row] -= RATE * total / np.sqrt(spread[row] + 1)[:, None]
+            weights[row] -= np.float32(RATE) * total / np.sqrt(spread[row] + 1)[:, None]
 
 
 def train(df: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) -> np.ndarray:
@@ -176,7 +197,7 @@ def train(df: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) ->
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own, spread, seen = sent.value.copy(), np.zeros(ROWS, np.float32), 0
-            memo = Memo(MEMO_ENTRIES, lambda ws: list(map(words.value.entry, ws)))
+            memo = Memo(MEMO_ENTRIES, words.value.entries)
             for batch in slices(batches, "_text"):
                 texts = Encoded(texts_of(batch, "_text"), memo)
                 gradient_steps(own, spread, texts.features, texts.classes)
@@ -212,11 +233,11 @@ def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     learned = df.where(learn)
     counts = cut(word_counts(learned, text_col))
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head = [(bytes(r.word), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()]
+    head = head_words(counts)
     vocabulary = Vocabulary(head)
     class_totals(counts, vocabulary)
     model = spark.sparkContext.broadcast((vocabulary, train(learned, vocabulary, id_col, text_col)))
-    full = len(head) < HEAD_WORDS  # then every word that was seen is a head word
+    full = len(head) == types
     schema = T.StructType(
         [T.StructField("_row", T.LongType()), field(df, id_col), T.StructField("n_tokens", T.LongType()), T.StructField("_known", T.LongType())]
         + [T.StructField(c, T.DoubleType()) for c in ("_base", "_score")]
@@ -225,7 +246,7 @@ def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights = model.value
-        memo = Memo(MEMO_ENTRIES, lambda ws: list(map(words.entry, ws)))
+        memo = Memo(MEMO_ENTRIES, words.entries)
         size = words.log_class_size()
         for batch in slices(batches, "_text"):
             texts = Encoded(texts_of(batch, "_text"), memo)
@@ -233,7 +254,7 @@ def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
             log_p = np.empty(len(texts.classes))
             for at in range(0, len(log_p), STEP):
                 c = texts.classes[at : at + STEP]
-                log_p[at : at + STEP] = class_log_probabilities(weights, texts.features[at : at + STEP])[np.arange(len(c)), c]
+                log_p[at : at + STEP] = class_log_probabilities(weights, [f[at : at + STEP] for f in texts.features])[np.arange(len(c)), c]
             known = texts.count > 0
             log_count = np.log10(np.maximum(texts.count, 0) + 1.0)
             single = texts.classes < len(words.single)
@@ -253,15 +274,18 @@ def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))], names=schema.names)
 
     rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
-    words = F.explode_outer(F.arrays_zip(F.col("_rare").alias("word"), F.col("_times").alias("times")))
-    single = rows.select("_row", id_col, "n_tokens", "_known", "_base", "_score", words.alias("_w"))
+    # one row for each rare word; the text's own figures travel on the first only
+    words = rows.select("*", F.posexplode_outer(F.arrays_zip(F.col("_rare").alias("word"), F.col("_times").alias("times"))).alias("_at", "_w"))
+    first = F.coalesce("_at", F.lit(0)) == 0
+    figures = (id_col, "n_tokens", "_known", "_base", "_score")
     # a text without rare words gets a key of its own, so that such rows don't meet in one task
     key = F.coalesce("_w.word", F.concat(F.lit(" "), F.col("_row").cast("string")).cast("binary"))
-    joined = single.withColumn("word", key).join(counts, "word", "left")
-    gain = F.log10(F.coalesce("n", F.lit(0)) + 1.0) * F.coalesce("_w.times", F.lit(0))
-    seen = F.when(F.col("n").isNotNull(), F.coalesce("_w.times", F.lit(0))).otherwise(0)
-    kept = [F.first(c).alias(c) for c in (id_col, "n_tokens", "_known", "_base", "_score")]
-    summed = joined.groupBy("_row").agg(*kept, F.sum(gain).alias("_gain"), F.sum(seen).alias("_seen"))
+    single = words.select("_row", key.alias("word"), F.coalesce("_w.times", F.lit(0)).alias("times"), *(F.when(first, F.col(c)).alias(c) for c in figures))
+    joined = single.join(counts, "word", "left")
+    gain = F.log10(F.coalesce("n", F.lit(0)) + 1.0) * F.col("times")
+    seen = F.when(F.col("n").isNotNull(), F.col("times"))
+    kept = [F.max(c).alias(c) for c in figures]
+    summed = joined.groupBy("_row").agg(*kept, F.sum(gain).alias("_gain"), F.coalesce(F.sum(seen), F.lit(0)).alias("_seen"))
     return summed.select(
         id_col,
         "n_tokens",
