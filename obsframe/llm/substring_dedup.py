@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -146,7 +147,7 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Record
         split = [words_of(t) for t in texts_of(batch, "_text")]
         get = memo.over(set().union(*split)).__getitem__
         sizes = np.array([len(w) for w in split], np.int64)
-        yield batch, split, np.fromiter((x for w in split for x in map(get, w)), np.uint64, int(sizes.sum())), sizes
+        yield batch, split, np.fromiter(map(get, chain.from_iterable(split)), np.uint64, int(sizes.sum())), sizes
 
 
 def _lists(owner: np.ndarray, values: np.ndarray, rows: int) -> pa.ListArray:
@@ -191,34 +192,49 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     # from here on only documents with a hash that another one names too
     suspect = cut(rows.join(suspects, "_id").select("_id", "_text", "_names", F.unhex(F.sha2("_text", 256)).alias("_row")))
 
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+        """Per batch (row, start, name, words) of each stretch: windows that follow one another under one suspect name."""
         for batch, split, h, sizes in _hash_batches(batches):
             place, name = window_names(h, sizes, window, RUN)
-            owner = np.repeat(np.arange(len(split)), sizes)[place]
-            start = np.cumsum(sizes) - sizes
-            wanted = batch.column(2).to_pylist()
+            edge = np.searchsorted(np.repeat(np.arange(len(split)), sizes)[place], np.arange(len(split) + 1))
+            start, wanted = np.cumsum(sizes) - sizes, batch.column(2).to_pylist()
             out: list[tuple] = []
-            edge = np.searchsorted(owner, np.arange(len(split) + 1))
-            ids, keys = batch.column(0).to_pylist(), batch.column(3).to_pylist()
             for i, words in enumerate(split):
                 own, at = name[edge[i] : edge[i + 1]], place[edge[i] : edge[i + 1]] - start[i]
                 hit = np.flatnonzero(np.isin(own, np.array(wanted[i], np.int64)))
-                if not len(hit):
-                    continue
-                # runs of windows that follow one another under one name
-                run = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (np.diff(own[hit]) != 0)])
-                for a, b in zip(hit[run], [*(hit[run[1:] - 1]), hit[-1]], strict=True):
-                    s, e = int(at[a]), int(at[b]) + window
-                    out.append((ids[i], keys[i], s, int(own[a]), b" ".join(words[s:e])))
+                if len(hit):
+                    run = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (np.diff(own[hit]) != 0)])
+                    for a, b in zip(hit[run], [*(hit[run[1:] - 1]), hit[-1]], strict=True):
+                        s, e = int(at[a]), int(at[b]) + window
+                        out.append((i, s, int(own[a]), b" ".join(words[s:e])))
+            yield batch, out
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, out in find(batches):
+            ids, least = batch.column(0).to_pylist(), {}
+            for i, _, name, words in out:
+                one = least.setdefault((name, words), ids[i])
+                if ids[i] < one:
+                    least[name, words] = ids[i]
+            if least:
+                names, texts = zip(*least, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(texts, pa.binary()), pa.array(least.values(), batch.column(0).type)], names=["_name", "_words", "_least"])
+
+    def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, out in find(batches):
             if out:
-                columns = list(zip(*out, strict=True))
-                kinds = [batch.column(0).type, pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["_id", "_row", "_start", "_name", "_words"])
-
-    cols = [key, T.StructField("_row", T.BinaryType()), T.StructField("_start", T.LongType()), T.StructField("_name", T.LongType()), T.StructField("_words", T.BinaryType())]
-    found = suspect.mapInArrow(stretches, T.StructType(cols))
-    distinct = found.groupBy("_name", "_words").agg(F.min("_id").alias("_least"))
-    shards = distinct.repartition("_name").sortWithinPartitions("_name", "_least")
+                row, start, names, texts = zip(*out, strict=True)
+                keys, count = [hashlib.md5(t).digest() for t in texts], [t.count(b" ") + 1 for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row)), batch.column(3).take(pa.array(row)), *(pa.array(c, pa.int64()) for c in (start, names)), pa.array(keys, pa.binary()), pa.array(count, pa.int64())],
+                    names=["_id", "_row", "_start", "_name", "_key", "_n"],
+                )
+
+    binary, long = T.BinaryType(), T.LongType()
+    pieces = suspect.mapInArrow(distinct, T.StructType([T.StructField("_name", long), T.StructField("_words", binary), field(df, id_col, "_least")]))
+    # dealt out by name first: the grouping behind it then needs no shuffle of its own
+    pieces = pieces.repartition("_name").groupBy("_name", "_words").agg(F.min("_least").alias("_least"))
+    shards = pieces.sortWithinPartitions("_name", "_least")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, reference, waiting, least = None, Reference(window), [], None
@@ -238,10 +254,11 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), batch.column(2), pa.array(starts, pa.list_(pa.int64()))], names=["_name", "_key", "_least", "_known"])
 
     judged = shards.select("_name", "_words", "_least").mapInArrow(
-        search, T.StructType([T.StructField("_name", T.LongType()), T.StructField("_key", T.BinaryType()), field(df, id_col, "_least"), T.StructField("_known", T.ArrayType(T.LongType()))])
+        search, T.StructType([T.StructField("_name", long), T.StructField("_key", binary), field(df, id_col, "_least"), T.StructField("_known", T.ArrayType(long))])
     )
     # a stretch that a smaller id holds repeats whole; for the smallest id itself, only the windows found
-    members = found.select("_id", "_row", "_start", "_name", F.unhex(F.md5("_words")).alias("_key"), F.array_size(F.split(F.col("_words").cast("string"), " ")).alias("_n"))
+    cols = [key, T.StructField("_row", binary), T.StructField("_start", long), T.StructField("_name", long), T.StructField("_key", binary), T.StructField("_n", long)]
+    members = suspect.mapInArrow(member, T.StructType(cols))
     joined = members.join(judged, ["_name", "_key"])
     whole = F.col("_id") > F.col("_least")
     windows = F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("_n") - window).cast("long").alias("b")))).otherwise(F.transform("_known", lambda k: F.struct(k.alias("a"), k.alias("b"))))
