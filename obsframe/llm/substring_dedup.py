@@ -13,6 +13,7 @@ at each word) tell which of its windows have begun in an earlier document.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -218,6 +219,8 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                     least[name, words] = ids[i]
             if least:
                 names, texts = zip(*least, strict=True)
+                # equal texts have equal compressed bytes, so these can be grouped by
+                texts = [zlib.compress(t, 1) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(texts, pa.binary()), pa.array(least.values(), batch.column(0).type)], names=["_name", "_words", "_least"])
 
     def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +243,7 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         current, reference, waiting, least = None, Reference(window), [], None
         for batch in batches:
             names, texts, leasts = (batch.column(k).to_pylist() for k in range(3))
-            starts = []
+            texts, starts = [zlib.decompress(t) for t in texts], []
             for name, text, one in zip(names, texts, leasts, strict=True):
                 words = text.split(b" ")
                 if name != current:
