@@ -8,6 +8,7 @@ the next lower reciprocal. Every task packs its own rows; no row moves.
 
 from __future__ import annotations
 
+import functools
 import os
 import string
 from collections.abc import Callable, Iterator
@@ -104,6 +105,12 @@ class Encoder:
         return [found.get(w) for w in words]
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder a Python worker: Spark reuses workers, so the words known from one task serve the next."""
+    return Encoder(path)
+
+
 def tail_lengths(rest: int, capacity: int) -> list[int]:
     """Cut a tail of fewer than `capacity` tokens at reciprocals until what is left fits its class well."""
     out = []
@@ -178,7 +185,7 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, bins = Encoder(tokenizer_path), Bins(capacity)
+        encode, bins = encoder(tokenizer_path), Bins(capacity)
         sequence = TaskContext.get().partitionId() << 33
         key_type = None
 
