@@ -18,7 +18,7 @@ from obsframe.llm.common import documents, fold, free_name, use_checkpoint_dir
 from obsframe.llm.decontamination import find_overlaps
 from obsframe.llm.line_dedup import drop_recurring_lines
 from obsframe.llm.packing import pack
-from obsframe.llm.simhash import near_duplicates
+from obsframe.llm.simhash import near_duplicates, similar_texts
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,15 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     differ) the document with the smallest id stays. Texts without words are one component.
     Rows that agree in id and text are one document; other texts under the id that stays stay
     too. Rows without an id stay: no group can name them."""
-    found = near_duplicates(docs, words=5, radius=4)
+    return _keep_first(docs, near_duplicates(docs, words=5, radius=4))
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As keep_one_of_near_copies, but linked where the sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return _keep_first(docs, similar_texts(docs, words=5, similarity=0.8))
+
+
+def _keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.select(*docs.columns).union(docs.where("doc_id is null"))
@@ -69,16 +77,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
+#: The same with near copies found by verified similarity.
+SIMILAR_STAGES = [("near_dedup", keep_one_of_similar) if name == "near_dedup" else (name, stage) for name, stage in STAGES]
+
 #: Language ID, SimHash and packing can't be written in SQL; tests compare the pipeline with plain Python.
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`; what lies between them goes to the shared checkpoint folder."""
+def run(spark: SparkSession, sf_dir: str, stages: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = STAGES) -> DataFrame:
+    """All `stages` over the documents of `sf_dir`; what lies between them goes to the shared checkpoint folder."""
     use_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
+    for name, stage in stages:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
