@@ -5,7 +5,8 @@ hashed, so a substitution under a 0 does not hide a copy. Seeds of the
 benchmark items are held as a sorted table of bounded size, every seed of a
 document is looked up in it, and around each hit the words of document and item
 are compared place by place: an overlap is a stretch that scores highest with
-+1 for a word that agrees and -MISS for one that does not.
++1 for a word that agrees and -MISS for one that does not, or the whole item
+where SHARE of its words agree.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ LEAST = 12
 LEAST_ITEM = 8
 #: A disagreeing word costs as much as four agreeing ones give, so four in five words agree in any overlap.
 MISS = 4
+#: Where this share of an item's words agrees, it is an overlap however the others are spread.
+SHARE = 0.8
 #: Words of benchmark items in one broadcast block.
 BLOCK_WORDS = 1_000_000
 MEMO_ENTRIES = 600_000
@@ -93,8 +96,11 @@ class ItemBlock:
                 a, b = max(0, -shift), min(int(self.size[item]), last - first - shift)
                 same = h[first + shift + a : first + shift + b] == self.words[self.start[item] + a : self.start[item] + b]
                 s, e = _best_stretch(same)
-                matches = int(same[s:e].sum())
-                if matches >= min(LEAST, int(self.size[item])) and (item not in best or matches > best[item][3]):
+                matches, least = int(same[s:e].sum()), min(LEAST, int(self.size[item]))
+                if matches < least and same.sum() >= SHARE * self.size[item]:
+                    agree = np.flatnonzero(same)
+                    s, e, matches, least = int(agree[0]), int(agree[-1]) + 1, len(agree), 0
+                if matches >= least and (item not in best or matches > best[item][3]):
                     best[item] = (shift + a + s, a + s, e - s, matches)
         return [(self.ids[k], *v) for k, v in sorted(best.items())]
 
@@ -112,11 +118,15 @@ class ItemBlock:
 
 
 def _best_stretch(same: np.ndarray) -> tuple[int, int]:
-    """Bounds of the stretch with the highest sum of +1 for True and -MISS for False."""
+    """Bounds of the stretch with the highest sum of +1 for True and -MISS for False; of equal ones that with most True."""
     total = np.r_[0, np.cumsum(np.where(same, 1, -MISS))]
-    gain = total - np.minimum.accumulate(total)
-    end = int(gain.argmax())
-    return int(np.flatnonzero(total[: end + 1] == total[: end + 1].min())[-1]), end
+    least = np.minimum.accumulate(total)
+    # the first place with the least sum so far
+    start = np.maximum.accumulate(np.where(np.r_[True, least[1:] < least[:-1]], np.arange(len(total)), 0))
+    ends = np.flatnonzero(total - least == (total - least).max())
+    count = np.r_[0, np.cumsum(same)]
+    end = int(ends[(count[ends] - count[start[ends]]).argmax()])
+    return int(start[end]), end
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[ItemBlock]:
