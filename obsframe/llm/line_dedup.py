@@ -1,9 +1,9 @@
-"""Lines that recur across documents, found through a log-template tree.
+"""Lines that recur across documents, with tokens that hold a digit generalised.
 
-Native: DataFrame functions only. A line's path in the tree is its token count,
-its first DEPTH tokens and its other tokens, each token that holds a digit
-generalised to a wildcard; a template is a leaf. Templates in many documents
-are boilerplate and go from all documents but the first.
+Native: DataFrame functions only. A template is a whole line in which each token
+that holds a digit is a wildcard; no other token is generalised, so the token
+count and the first DEPTH tokens in its hash never change a result. Templates in
+many documents are boilerplate and go from all documents but the first.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ _VARIABLE = "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
 
 def template(line: Column, depth: int = DEPTH) -> Column:
-    """Hash of the line's path in the template tree; null for a line without tokens."""
+    """Hash of the line's template; null for a line without tokens."""
     # most lines have single spaces already, and a look is cheaper than a replacement
     plain = F.trim(F.when(line.rlike(_UNEVEN), F.regexp_replace(line, _SPACES, " ")).otherwise(line))
     tokens = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _VARIABLE, WILDCARD)).otherwise(plain)
