@@ -15,12 +15,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsframe.llm.common import Memo, field, slices, texts_of
+from obsframe.llm.common import Memo, field, slices
 
 MEMO_ENTRIES = 600_000
 #: Pieces this short go whole into their class: the loss is below one token in sixteen of a short piece.
@@ -33,8 +34,9 @@ class Encoder:
     """Ids of texts as little-endian uint32 bytes, from a byte-level BPE file of `tokenizers`.
 
     Its pre-tokeniser joins a space only with what follows and leaves a single
-    line end by itself, so a text is cut there and the library encodes each
-    distinct word once; a bounded memo keeps the words of this worker.
+    line end by itself, so texts are cut there. Arrow numbers the distinct words
+    of a batch, the library encodes those a bounded memo doesn't hold, and the
+    ids of all words are then gathered from one flat array.
     """
 
     def __init__(self, path: str):
@@ -53,58 +55,103 @@ class Encoder:
         self.rests = Memo(MEMO_ENTRIES, self._spaced)
         self.ends = Memo(MEMO_ENTRIES // 4, self._ids)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split, heads, rests = [], set(), set()
-        for text in texts:
-            lines = []
-            for line in text.split("\n") if text else ():
-                head, *rest = line.split(" ")
-                heads.add(head)
-                rests.update(rest)
-                lines.append((head, rest))
-            split.append(lines)
-        head_ids, rest_ids = self.heads.over(heads), self.rests.over(rests).__getitem__
-        out: list[bytes] = []
-        for text, lines in zip(texts, split, strict=True):
-            try:
-                if any(s in text for s in self.special):
-                    raise TypeError
-                out.append(self.line_end.join([head_ids[head] + b"".join(map(rest_ids, rest)) for head, rest in lines]))
-            except TypeError:  # a special string, or None for a word beside more white space
-                out += self._ids([text])
+    def __call__(self, texts: pa.Array | list) -> list[bytes]:
+        """Ids of each text; null counts as empty."""
+        texts = pa.compute.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        lines = pa.compute.split_pattern(texts, "\n")
+        words = pa.compute.split_pattern(lines.flatten(), " ")
+        line_of, word_of = lines.offsets.to_numpy(), words.offsets.to_numpy()
+        head = np.zeros(word_of[-1], bool)
+        head[word_of[:-1]] = True
+        # a line's first word has the line end before it; that of the text's first line is taken off again
+        flat, size, run, known = [], [], np.empty(len(head), np.int64), 0
+        for mine, memo in ((head, self.heads), (~head, self.rests)):
+            found = words.flatten().filter(pa.array(mine)).dictionary_encode()
+            ids, sizes = self._runs(found.dictionary, memo)
+            run[mine] = found.indices.to_numpy() + known
+            flat.append(ids)
+            size.append(sizes)
+            known += len(sizes)
+        flat, size = np.concatenate(flat), np.concatenate(size)
+        whole = size[run] < 0  # words beside more white space
+        size = np.maximum(size, 0)
+        start_of = word_of[line_of]
+        alone = np.add.reduceat(np.r_[whole, False], start_of[:-1]) > 0 if len(texts) else np.empty(0, bool)
+        for s in self.special:
+            alone |= pa.compute.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        first, n = (np.cumsum(size) - size)[run], size[run]
+        skip = np.zeros(len(n), np.int64)
+        skip[start_of[:-1]] = np.minimum(len(self.line_end) // 4, n[start_of[:-1]])
+        first, n = first + skip, n - skip
+        ends = np.r_[0, np.cumsum(n)]
+        ids = _gather(flat, first, n).tobytes()
+        bounds = (4 * ends[start_of]).tolist()
+        out = [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        at = np.flatnonzero(alone)
+        for i, got in zip(at.tolist(), self._ids(texts.take(pa.array(at)).to_pylist()), strict=True):
+            out[i] = got
         return out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _runs(self, words: pa.Array, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end and their number for each, -1 for a word that can't be taken by itself. The
+        pre-tokeniser parts letters from punctuation behind them, so the two are looked up on their own."""
+        core = pa.compute.utf8_rtrim(words, string.punctuation)
+        core = pa.compute.if_else(pa.compute.utf8_is_alpha(core), core, words)
+        flat, size, first = [], [], []
+        for part, m in ((core, memo), (_behind(words, core), self.ends)):
+            found = part.dictionary_encode()
+            distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+            runs = list(map(m.over(set(distinct)).__getitem__, distinct))
+            sizes = np.array([-1 if r is None else len(r) // 4 for r in runs], np.int64)
+            at = found.indices.to_numpy()
+            size.append(sizes[at])
+            sizes = np.maximum(sizes, 0)
+            first.append((np.cumsum(sizes) - sizes)[at] + sum(map(len, flat)))
+            flat.append(np.frombuffer(b"".join(r for r in runs if r), "<u4"))
+        size, first = np.stack(size, 1), np.stack(first, 1)
+        return _gather(np.concatenate(flat), first.ravel(), np.maximum(size, 0).ravel()), np.where(size[:, 0] < 0, -1, size.sum(1))
+
     def _spaced(self, words: list[str]) -> list[bytes | None]:
-        """Each word with the space before it; a token that opens with a space opens a word. The
-        pre-tokeniser parts letters from punctuation behind them, so known letters aren't encoded again."""
-        young, old = self.rests.young, self.rests.old
-        core = {w: c for w in words if len(c := w.rstrip(string.punctuation)) < len(w) and c.isalpha()}
-        todo = list({c for w in words if (c := core.get(w, w)) not in young and c not in old})
-        found = dict(zip(todo, self._together(todo, " ", lambda ids: self.leads[ids], 0), strict=True))
-        ends = self.ends.over({w[len(c) :] for w, c in core.items()})
-        return [found.get(w) if (c := core.get(w)) is None else (found.get(c) or young.get(c) or old[c]) + ends[w[len(c) :]] for w in words]
+        """Each word with the space before it; a token that opens with a space opens a word."""
+        return self._together(words, " ", lambda ids: self.leads[ids])
 
     def _line_heads(self, words: list[str]) -> list[bytes | None]:
-        """Each word by itself, with a line end before it that is then taken off."""
+        """Each word with the line end before it."""
         end = int(np.frombuffer(self.line_end, "<u4")[0])
-        return self._together(words, "\n", lambda ids: ids == end, 4)
+        return self._together(words, "\n", lambda ids: ids == end)
 
-    def _together(self, words: list[str], before: str, opens: Callable, skip: int) -> list[bytes | None]:
+    def _together(self, words: list[str], before: str, opens: Callable) -> list[bytes | None]:
         """Ids of each word, many in one call; None for a word that is empty or has white space at an end."""
         good = [w for w in words if w and not (w[0].isspace() or w[-1].isspace())]
         found: dict[str, bytes] = {}
         for k in range(0, len(good), CALL):
             part = good[k : k + CALL]
-            (ids,) = self._ids([before + before.join(part)])
-            at = (4 * np.flatnonzero(opens(np.frombuffer(ids, "<u4")))).tolist()
+            ids = np.array(self.tokenizer.encode_batch_fast([before + before.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = (4 * np.flatnonzero(opens(ids))).tolist()
+            ids = ids.tobytes()
             for w, a, b in zip(part, at, [*at[1:], len(ids)], strict=True):
-                found[w] = ids[a + skip : b]
+                found[w] = ids[a:b]
         return [found.get(w) for w in words]
 
 
+def _gather(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs of `n` values of `flat` that begin at `first`, end to end."""
+    ends = np.cumsum(n)
+    return flat[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _behind(words: pa.Array, core: pa.Array) -> pa.Array:
+    """What follows in each word behind its `core`."""
+    size, taken = (pa.compute.binary_length(x).to_numpy() for x in (words, core))
+    offsets = np.r_[0, np.cumsum(size - taken)].astype(np.int32)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    start = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words)]
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(offsets), pa.py_buffer(_gather(data, start + taken, size - taken)))
+
+
 @functools.cache
 def encoder(path: str) -> Encoder:
     """One encoder a Python worker: Spark reuses workers, so the words known from one task serve the next."""
@@ -205,7 +252,7 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int =
 
         for batch in slices(batches, "_text"):
             key_type = batch.column(0).type
-            closed = [b for key, ids in zip(batch.column(0).to_pylist(), encode(texts_of(batch, "_text")), strict=True) for b in bins.add(key, ids + end)]
+            closed = [b for key, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True) for b in bins.add(key, ids + end)]
             if closed:
                 yield rows(closed)
         if closed := list(bins.close()):
