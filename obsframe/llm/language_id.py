@@ -8,6 +8,7 @@ length, estimates the text's entropy under that language, and the least wins.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Iterator
 
@@ -19,23 +20,30 @@ from pyspark.sql import types as T
 
 from obsframe.llm.common import field, slices, texts_of
 
-#: Bound of the sample per language: rows, and bytes of any one row.
+#: Bound of the sample per language: rows, and characters taken of any one row.
 SAMPLE_ROWS = 48
-SAMPLE_ROW_BYTES = 8192
+SAMPLE_ROW_CHARS = 8192
+#: Characters of all samples together; each language has an equal share, so the model that is sent out has a bound.
+SAMPLE_CHARS = 2_000_000
 UNDETERMINED = "und"
-#: Texts are parsed in stretches of this many characters, all stretches of a batch side by side.
+#: Texts are walked in stretches of this many characters side by side; phrases go on over their edges.
 STRETCH = 256
+#: Stretches fewer than this are walked one by one.
+FEW = 128
 SPACE, OTHER = 1, 2
 
 
+@functools.cache
+def _is_letter() -> np.ndarray:
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
+
+
 class Letters:
-    """Codes of characters: lower-cased letters of the samples, one code for the other letters, a space for the rest."""
+    """Codes of characters: lower-cased letters of the samples, one code for letters in no sample, a space for the rest."""
 
-    def __init__(self, samples: dict[str, str]):
-        seen = sorted({c for s in samples.values() for c in s.lower() if c.isalpha()})[: 255 - OTHER]
+    def __init__(self, seen: list[str]):
         self.size = OTHER + 1 + len(seen)
-        letters = np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
-        self.code = np.where(letters, OTHER, SPACE).astype(np.uint8)
+        self.code = np.where(_is_letter(), OTHER, SPACE)
         for k, c in enumerate(seen):
             for form in {c, c.upper(), c.title()}:
                 if len(form) == 1:
@@ -51,8 +59,8 @@ class Letters:
         return codes, np.bincount(owner, minlength=len(texts)), np.bincount(owner[codes != SPACE], minlength=len(texts))
 
 
-def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
-    """Transitions (state x code) of the automaton of all substrings of `codes`; 0 is the start and stands for none."""
+def suffix_automaton(codes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Transitions (state, code, next state) of the automaton of all substrings of `codes`; 0 is the start."""
     go: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -78,46 +86,92 @@ def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.zeros((len(go), alphabet), np.int32)
-    for state, edges in enumerate(go):
-        for c, to in edges.items():
-            table[state, c] = to
-    return table
+    size = [len(e) for e in go]
+    flat = lambda of: np.fromiter((x for e in go for x in of(e)), np.int32, sum(size))
+    return np.repeat(np.arange(len(go), dtype=np.int32), size), flat(dict.keys), flat(dict.values)
+
+
+class Transitions:
+    """A sparse table of (state, code) to next state: open addressing, looked up in numpy for many at once.
+    A place holds the key and, in its low bits, the next state; -1 is an empty place."""
+
+    def __init__(self, state: np.ndarray, code: np.ndarray, to: np.ndarray, codes: int):
+        self.codes, self.bits = codes, max(4, int(3 * len(to)).bit_length())
+        self.low = int(to.max(initial=1)).bit_length()
+        self.entry = np.full(1 << self.bits, -1, np.int64)
+        key = state.astype(np.int64) * codes + code
+        at, left = self._slot(key), np.arange(len(key))
+        while len(left):
+            free = np.flatnonzero(self.entry[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.entry[at[put]] = key[left[put]] << self.low | to[left[put]]
+            stay = np.ones(len(left), bool)
+            stay[put] = False
+            left, at = left[stay], (at[stay] + 1) & (len(self.entry) - 1)
+        self.one = memoryview(self.entry)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def __call__(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Next states, 0 where there is none."""
+        key = state * self.codes + code
+        at = self._slot(key)
+        held = self.entry[at]
+        miss = np.flatnonzero(held >> self.low != key)
+        to = held & ((1 << self.low) - 1)
+        to[miss] = 0
+        miss = miss[held[miss] >= 0]
+        while len(miss):
+            at[miss] = (at[miss] + 1) & (len(self.entry) - 1)
+            held = self.entry[at[miss]]
+            hit = held >> self.low == key[miss]
+            to[miss[hit]] = held[hit] & ((1 << self.low) - 1)
+            miss = miss[~hit & (held >= 0)]
+        return to
+
+    def step(self, state: int, code: int) -> int:
+        """The same for one: cheaper where few are left."""
+        key = state * self.codes + code
+        at = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
+        while (held := self.one[at]) >= 0:
+            if held >> self.low == key:
+                return held & ((1 << self.low) - 1)
+            at = (at + 1) & (len(self.one) - 1)
+        return 0
 
 
 class CrossParser:
-    """The fitted model: per language its automaton and the bits of one phrase."""
+    """The fitted model: per language its automaton and the bits of one phrase. What is sent to the
+    executors are letters and lists of transitions, from which each worker makes its tables once."""
 
     def __init__(self, samples: dict[str, str]):
-        self.letters = Letters(samples)
-        self.languages, self.tables, self.bits = sorted(samples), [], []
-        for language in self.languages:
-            codes, _, _ = self.letters([samples[language]])
-            self.tables.append(suffix_automaton(codes.tolist(), self.letters.size).ravel())
-            self.bits.append(float(np.log2(len(codes) + 2)))
+        seen = sorted({c for s in samples.values() for c in s.lower() if c.isalpha()})
+        letters, edges, bits = Letters(seen), [], []
+        for language in sorted(samples):
+            codes, _, _ = letters([samples[language]])
+            edges.append(suffix_automaton(codes.tolist()))
+            bits.append(float(np.log2(len(codes) + 2)))
+        self.__setstate__((sorted(samples), seen, edges, bits))
+
+    def __getstate__(self) -> tuple:
+        return self.languages, self.seen, self.edges, self.bits
+
+    def __setstate__(self, state: tuple) -> None:
+        self.languages, self.seen, self.edges, self.bits = state
+        self.letters = Letters(self.seen)
+        self.tables = [Transitions(*e, self.letters.size) for e in self.edges]
 
     def phrases(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases of each text (rows) under each language (columns)."""
-        count = -(-sizes // STRETCH)
-        owner = np.repeat(np.arange(len(sizes)), count)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        start = np.repeat(np.cumsum(sizes) - sizes, count) + nth * STRETCH
-        size = np.minimum(np.repeat(sizes, count) - nth * STRETCH, STRETCH)
-        order = np.argsort(-size, kind="stable")
-        owner, start, size = owner[order], start[order], size[order]
+        """Phrases of each text (rows) under each language (columns), by greedy parsing from its first character.
+        A character that the sample doesn't hold counts twice: it must be spelled out besides."""
         out = np.zeros((len(sizes), len(self.languages)), np.int64)
-        longest = int(size.max(initial=0))
-        live = np.searchsorted(-size, -np.arange(longest), "left")  # stretches longer than each column
-        at = [codes[start[:n] + k].astype(np.int32) for k, n in enumerate(live)]
+        ends = np.cumsum(sizes)
         for j, table in enumerate(self.tables):
-            state, ended = np.zeros(len(owner), np.int32), np.ones(len(owner), np.int64)
-            for c, n in zip(at, live, strict=True):
-                to = table[state[:n] * self.letters.size + c]
-                stop = to == 0
-                ended[:n] += stop
-                to[stop] = table[c[stop]]
-                state[:n] = to
-            out[:, j] = np.bincount(owner, ended, len(sizes)).astype(np.int64)
+            every = np.arange(self.letters.size)
+            strange = np.r_[0, np.cumsum((table(np.zeros_like(every), every) == 0)[codes])]
+            out[:, j] = Parse(codes, sizes, table).count() + strange[ends] - strange[ends - sizes]
         return out
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, float]]:
@@ -134,23 +188,110 @@ class CrossParser:
         return [(self.languages[b], float(s), float(r)) if n else (UNDETERMINED, 0.0, 0.0) for b, s, r, n in zip(best, score, rate, letters, strict=True)]
 
 
+class Parse:
+    """Greedy parsing of texts laid end to end, in stretches side by side.
+
+    Each stretch is first parsed as if a phrase began at its first character. Then
+    the phrase that reaches over its edge goes on into it until a phrase begins where
+    one began in that first parse; from there on both parses are the same."""
+
+    def __init__(self, codes: np.ndarray, sizes: np.ndarray, table: Transitions):
+        self.codes, self.sizes, self.table = codes, sizes, table
+        count = -(-sizes // STRETCH)
+        self.owner = np.repeat(np.arange(len(sizes)), count)
+        nth = np.arange(len(self.owner)) - np.repeat(np.cumsum(count) - count, count)
+        self.start = np.repeat(np.cumsum(sizes) - sizes, count) + nth * STRETCH
+        self.size = np.minimum(np.repeat(sizes, count) - nth * STRETCH, STRETCH)
+        self.later = nth > 0
+        self.begins = np.zeros(len(codes), bool)
+
+    def count(self) -> np.ndarray:
+        every = np.arange(len(self.owner))
+        own, end, _ = self._walk(every, np.zeros(len(every), np.int64), None)
+        running = np.r_[0, np.cumsum(self.begins)]
+        rest = running[self.start + self.size]
+        phrases = rest - running[self.start]
+        known, todo = end.copy(), every[self.later]
+        while len(todo):
+            more, left, place = self._walk(todo, known[todo - 1], self.begins)
+            joined = place >= 0
+            phrases[todo] = more + np.where(joined, rest[todo] - running[np.maximum(place, 0)], 0)
+            now = np.where(joined, end[todo], left)
+            changed = todo[now != known[todo]]
+            known[todo] = now
+            # only a stretch behind one that ends in another state than was taken for it is parsed again
+            after = changed + 1
+            after = after[after < len(every)]
+            todo = after[self.later[after]]
+        return np.bincount(self.owner, phrases, len(self.sizes)).astype(np.int64)
+
+    def _walk(self, which: np.ndarray, state: np.ndarray, until: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each stretch: phrases that begin in it, its last state, and the place where a phrase began
+        that begins in `until` too (-1 for none), before which the walk ends. Without `until`, marks where phrases begin."""
+        if until is not None and len(which) < FEW:
+            return tuple(np.array(c) for c in zip(*(self._walk_one(int(k), int(s), until) for k, s in zip(which, state, strict=True)), strict=True))
+        order = np.argsort(-self.size[which], kind="stable")
+        lane, at, size, state = order, self.start[which[order]], self.size[which[order]], state[order]
+        begun, last, place = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64), np.full(len(which), -1)
+        for k in range(int(size.max(initial=0))):
+            live = np.searchsorted(-size, -k, "left")  # longer than k
+            if live < len(lane):
+                last[lane[live:]] = state[live:]
+                lane, at, size, state = lane[:live], at[:live], size[:live], state[:live]
+            c = self.codes[at]
+            to = self.table(state, c)
+            stop = np.flatnonzero((to == 0) | (state == 0))  # state 0: at the start, or behind a strange character
+            if until is None:
+                self.begins[at[stop]] = True
+            else:
+                same = until[at[stop]]
+                place[lane[stop[same]]] = at[stop[same]]
+                begun[lane[stop[~same]]] += 1
+            again = stop[to[stop] == 0]
+            to[again] = self.table(np.zeros(len(again), np.int64), c[again])
+            if until is not None and same.any():
+                stay = np.ones(len(lane), bool)
+                stay[stop[same]] = False
+                lane, at, size, to = lane[stay], at[stay], size[stay], to[stay]
+            state = to
+            if not len(lane):
+                break
+            at = at + 1
+        last[lane] = state
+        return begun, last, place
+
+    def _walk_one(self, k: int, state: int, until: np.ndarray) -> tuple[int, int, int]:
+        begun, step, start = 0, self.table.step, int(self.start[k])
+        codes, marks = (x[start : start + self.size[k]].tolist() for x in (self.codes, until))
+        for n, (c, mark) in enumerate(zip(codes, marks, strict=True)):
+            to = step(state, c)
+            if not to or not state:
+                if mark:
+                    return begun, 0, start + n
+                begun += 1
+                to = to or step(0, c)
+            state = to
+        return begun, state, -1
+
+
 def fit(df: DataFrame, learn: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> CrossParser:
-    """Fit on at most SAMPLE_ROWS rows a language where `learn` holds, the language isn't null and the text
-    has 1 to SAMPLE_ROW_BYTES bytes, taken in the order of a hash of the id. Repeated rows count each."""
-    size = F.octet_length(text_col)
-    rows = df.where(learn & F.col(lang_col).isNotNull() & size.between(1, SAMPLE_ROW_BYTES))
+    """Fit on at most SAMPLE_ROWS rows a language where `learn` holds, the language isn't null and the text isn't
+    empty, taken in the order of a hash of the id; of a longer row the first SAMPLE_ROW_CHARS characters, and of each
+    language an equal share of SAMPLE_CHARS. Repeated rows count each."""
+    rows = df.where(learn & F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0))
     keys = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("_h"), F.col(lang_col).alias("_lang"))
     order = Window.partitionBy("_lang").orderBy("_h")
     chosen = keys.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_ROWS).groupBy("_lang").agg(F.max("_h").alias("_most"))
     # one bound a language: small enough to broadcast whatever the number of rows
-    texts = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("_h"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    texts = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("_h"), F.col(lang_col).alias("_lang"), F.substring(text_col, 1, SAMPLE_ROW_CHARS).alias("_text"))
     sample = texts.join(F.broadcast(chosen), "_lang").where("_h <= _most")
     order = Window.partitionBy("_lang").orderBy("_h", "_text")
     sample = sample.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_ROWS)
     gathered: dict[str, list] = {}
     for r in sample.select("_lang", "_h", "_text").collect():
         gathered.setdefault(r._lang, []).append((r._h, r._text))
-    return CrossParser({lang: "\n".join(t for _, t in sorted(rows)) for lang, rows in gathered.items()})
+    share = SAMPLE_CHARS // max(1, len(gathered))
+    return CrossParser({lang: "\n".join(t for _, t in sorted(rows))[:share] for lang, rows in gathered.items()})
 
 
 def identify_language(df: DataFrame, model: CrossParser, text_col: str = "text", prefix: str = "") -> DataFrame:
