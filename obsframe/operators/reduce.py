@@ -7,6 +7,7 @@ which partitions are added up; every sum is pre-aggregated before the shuffle.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce as reduce_all
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,11 +79,12 @@ def trend(df: DataFrame, keys: Sequence[str], time: str = "ts", value: str = "va
     """Least-squares line of the value over days since 1970; slope and intercept per group."""
     day = F.datediff(F.col(time).cast("date"), F.lit("1970-01-01").cast("date")).cast("double")
     fit = df.where(F.col(value).isNotNull()).select(*keys, day.alias("_x"), F.col(value).alias("_y"))
-    return fit.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.regr_slope("_y", "_x"), 4).alias("slope"))
+    return fit.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.regr_slope("_y", "_x"), 4).alias("slope"), F.round(F.regr_intercept("_y", "_x"), 3).alias("intercept"))
 
 
 def anomaly(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """The value less the mean of its group. The groups' means are joined back: groups may be few and
-    large, and a window over them would put each into one task."""
-    means = df.groupBy(*keys).agg(exact_mean(value).alias("_mean"))
-    return df.join(means, list(keys)).withColumn("anomaly", F.col(value) - F.col("_mean")).drop("_mean")
+    """The value less the mean of its group; rows whose keys are null are groups too. The groups' means are
+    joined back: groups may be few and large, and a window over them would put each into one task."""
+    means = df.groupBy(*(F.col(k).alias(f"_{n}") for n, k in enumerate(keys))).agg(exact_mean(value).alias("_mean"))
+    same = reduce_all(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{n}")) for n, k in enumerate(keys)))
+    return df.join(means, same, "left").withColumn("anomaly", F.col(value) - F.col("_mean")).drop("_mean", *(f"_{n}" for n in range(len(keys))))

@@ -188,13 +188,14 @@ def c18_moving(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT event_type, dayofweek(ts) AS d, sum(value::DECIMAL(18,6))::DOUBLE / count(value) AS mean FROM events GROUP BY ALL)
-    SELECT event_id, value, value - mean AS anomaly FROM events e JOIN m ON e.event_type = m.event_type AND dayofweek(e.ts) = m.d""")
+    SELECT event_id, value, value - mean AS anomaly FROM events e LEFT JOIN m ON e.event_type IS NOT DISTINCT FROM m.event_type AND dayofweek(e.ts) IS NOT DISTINCT FROM m.d""")
 def c19_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     dated = events(spark, sf_dir).withColumn("weekday", F.dayofweek("ts"))
     return reduce.anomaly(dated, ["event_type", "weekday"]).select("event_id", "value", "anomaly")
 
 
-@query("""SELECT user_id, count(*)::BIGINT AS n, round(regr_slope(value, date_diff('day', DATE '1970-01-01', ts::DATE)::DOUBLE), 4) AS slope
+@query("""SELECT user_id, count(*)::BIGINT AS n, round(regr_slope(value, date_diff('day', DATE '1970-01-01', ts::DATE)::DOUBLE), 4) AS slope,
+    round(regr_intercept(value, date_diff('day', DATE '1970-01-01', ts::DATE)::DOUBLE), 3) AS intercept
     FROM events WHERE value IS NOT NULL GROUP BY user_id""")
 def c20_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.trend(events(spark, sf_dir), ["user_id"])

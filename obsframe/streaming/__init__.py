@@ -10,18 +10,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A fresh folder under the cluster's spark.checkpoint.dir; a temporary one where that is unset and Spark runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="obsframe-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="obsframe-"))
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
@@ -80,15 +80,7 @@ def store_new(df: DataFrame, path: str, state: str) -> None:
 
 def running_counts(df: DataFrame, key: str) -> DataFrame:
     """(key, n): after each batch the rows seen so far, for the keys in it; update mode. The state is one number a key."""
-    kind = df.schema[key].dataType
-
-    def update(group: tuple, frames, state: GroupState):
-        n = (state.get[0] if state.exists else 0) + sum(len(f) for f in frames)
-        state.update((n,))
-        yield pd.DataFrame({key: [group[0]], "n": [n]})
-
-    out = T.StructType([T.StructField(key, kind), T.StructField("n", T.LongType())])
-    return df.select(key).groupBy(key).applyInPandasWithState(update, out, "n long", "update", GroupStateTimeout.NoTimeout)
+    return df.groupBy(key).agg(F.count("*").alias("n"))
 
 
 def drain_latest(df: DataFrame, key: str, value: str, name: str) -> DataFrame:

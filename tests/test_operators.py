@@ -136,3 +136,9 @@ def test_store_new_is_idempotent(spark, tmp_path):
         stream = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long").parquet(str(tmp_path / "in" / "*"))
         streaming.store_new(stream, str(tmp_path / "out"), str(tmp_path / "state"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_anomaly_keeps_rows_with_null_keys(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 3.0), (3, None, 5.0), (4, None, 7.0)], "event_id long, event_type string, value double")
+    got = {r.event_id: r.anomaly for r in reduce.anomaly(df, ["event_type"]).collect()}
+    assert got == {1: -1.0, 2: 1.0, 3: -1.0, 4: 1.0}
