@@ -86,7 +86,7 @@ QUERIES = {
 
 SQL = {
     "op4_substring_dedup": substring_dedup.SQL,
-    "op9_line_dedup": line_dedup.SQL.format(docs="documents", least=line_dedup.LEAST_DOCUMENTS),
+    "op9_line_dedup": line_dedup.SQL.format(docs="documents", least=line_dedup.LEAST_DOCUMENTS, kept=line_dedup.LEAST_KEPT, share=line_dedup.KEPT_SHARE),
     "op10_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
