@@ -40,7 +40,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and benchmark item that overlap."""
     docs, benchmark = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = find_overlaps(docs.select("doc_id", "text"), benchmark)
+    found = find_overlaps(docs.select("doc_id", "text"), benchmark, least_item=1)
     return found.select("doc_id", F.inline("overlaps"))
 
 
