@@ -8,6 +8,13 @@ are dealt out by that hash. The task that owns a shard goes through them in the
 order of their ids: a stretch is streamed through the suffix automata of the
 stretches before it, and its matching statistics (the longest match that ends
 at each word) tell which of its windows have begun in an earlier document.
+A stretch that is equal to one of a smaller id is not streamed again: it shares
+the row of the distinct stretch, and all of its windows repeat.
+
+Where very many distinct stretches carry one name (a passage that documents hold
+between words of their own), they are cut first to the windows whose hash occurs
+under two ids. What is left of them is what they share, so it is few distinct
+stretches again, and no task gathers one for each document.
 """
 
 from __future__ import annotations
@@ -23,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsframe.llm.common import Memo, cut, field, slices, texts_of
+from obsframe.llm.common import Memo, field, slices, store, texts_of
 
 WINDOW = 50
 #: Words in the runs whose hashes stand for windows.
 RUN = 18
 #: Words of reference text in one automaton.
 SHARD_WORDS = 200_000
+#: Distinct stretches of one name beyond which they are cut to windows that repeat. It changes what is compared, not what is found.
+HOT_STRETCHES = 1000
 MEMO_ENTRIES = 600_000
 
 
@@ -173,8 +182,10 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     columns are left out; an empty table gives an empty table.
     """
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
+    binary, long = T.BinaryType(), T.LongType()
     key = field(df, id_col, "_id")
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    # an id and its text's hash name a row; rows that agree in both have the same result
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_row"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, split, h, sizes in _hash_batches(batches):
@@ -184,21 +195,29 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
             first = np.r_[True, (np.diff(owner[order]) != 0) | (np.diff(name[order]) != 0)][: len(order)]
             order = order[first]
             digests = [hashlib.sha256(b" ".join(w)).hexdigest() for w in split]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(digests), _lists(owner[order], name[order], len(split))], names=["_id", "n_words", "_sha", "_names"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes), pa.array(digests), _lists(owner[order], name[order], len(split))], names=["_id", "_row", "n_words", "_sha", "_names"])
 
-    base = cut(rows.mapInArrow(read, T.StructType([key, T.StructField("n_words", T.LongType()), T.StructField("_sha", T.StringType()), T.StructField("_names", T.ArrayType(T.LongType()))])))
-    named = base.where("_id is not null").select("_id", F.explode("_names").alias("_name"))
+    base = store(rows.mapInArrow(read, T.StructType([key, T.StructField("_row", long), T.StructField("n_words", long), T.StructField("_sha", T.StringType()), T.StructField("_names", T.ArrayType(long))])), "names")
+    named = base.where("_id is not null").select("_id", "_row", F.explode("_names").alias("_name"))
     shared = named.groupBy("_name").agg(F.min("_id").alias("_a"), F.max("_id").alias("_b")).where("_a < _b").select("_name")
-    suspects = named.join(shared, "_name").groupBy("_id").agg(F.collect_set("_name").alias("_names"))
-    # from here on only documents with a hash that another one names too
-    suspect = cut(rows.join(suspects, "_id").select("_id", "_text", "_names", F.unhex(F.sha2("_text", 256)).alias("_row")))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
-        """Per batch (row, start, name, words) of each stretch: windows that follow one another under one suspect name."""
+    suspects = named.join(shared, "_name").groupBy("_id", "_row").agg(F.collect_set("_name").alias("_names"))
+    # from here on only documents with a hash that another one names too, each distinct row once
+    suspect = store(rows.join(suspects, ["_id", "_row"]).dropDuplicates(["_id", "_row"]).select("_id", "_text", "_row", "_names"), "suspects")
+    columns = ["_id", "_row", "_start", "_name", "_key", "_n", "_words"]
+
+    def stretches(ids: pa.Array, rows: pa.Array, out: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        """(place in the batch, start, name, words) of each stretch as a batch; equal words have equal keys and compressed bytes."""
+        row, start, names, texts = zip(*out, strict=True)
+        count = [t.count(b" ") + 1 for t in texts]
+        made = [pa.array(start, pa.int64()), pa.array(names, pa.int64()), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), pa.array(count, pa.int64()), pa.array([zlib.compress(t, 1) for t in texts], pa.binary())]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), rows.take(pa.array(row)), *made], names=columns)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows that follow one another under one suspect name are a stretch."""
         for batch, split, h, sizes in _hash_batches(batches):
             place, name = window_names(h, sizes, window, RUN)
             edge = np.searchsorted(np.repeat(np.arange(len(split)), sizes)[place], np.arange(len(split) + 1))
-            start, wanted = np.cumsum(sizes) - sizes, batch.column(2).to_pylist()
+            start, wanted = np.cumsum(sizes) - sizes, batch.column(3).to_pylist()
             out: list[tuple] = []
             for i, words in enumerate(split):
                 own, at = name[edge[i] : edge[i + 1]], place[edge[i] : edge[i + 1]] - start[i]
@@ -208,44 +227,63 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                     for a, b in zip(hit[run], [*(hit[run[1:] - 1]), hit[-1]], strict=True):
                         s, e = int(at[a]), int(at[b]) + window
                         out.append((i, s, int(own[a]), b" ".join(words[s:e])))
-            yield batch, out
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, out in find(batches):
-            ids, least = batch.column(0).to_pylist(), {}
-            for i, _, name, words in out:
-                one = least.setdefault((name, words), ids[i])
-                if ids[i] < one:
-                    least[name, words] = ids[i]
-            if least:
-                names, texts = zip(*least, strict=True)
-                # equal texts have equal compressed bytes, so these can be grouped by
-                texts = [zlib.compress(t, 1) for t in texts]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(texts, pa.binary()), pa.array(least.values(), batch.column(0).type)], names=["_name", "_words", "_least"])
-
-    def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, out in find(batches):
             if out:
-                row, start, names, texts = zip(*out, strict=True)
-                keys, count = [hashlib.md5(t).digest() for t in texts], [t.count(b" ") + 1 for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row)), batch.column(3).take(pa.array(row)), *(pa.array(c, pa.int64()) for c in (start, names)), pa.array(keys, pa.binary()), pa.array(count, pa.int64())],
-                    names=["_id", "_row", "_start", "_name", "_key", "_n"],
-                )
+                yield stretches(batch.column(0), batch.column(2), out)
 
-    binary, long = T.BinaryType(), T.LongType()
-    pieces = suspect.mapInArrow(distinct, T.StructType([T.StructField("_name", long), T.StructField("_words", binary), field(df, id_col, "_least")]))
-    # dealt out by name first: the grouping behind it then needs no shuffle of its own
-    pieces = pieces.repartition("_name").groupBy("_name", "_words").agg(F.min("_least").alias("_least"))
-    shards = pieces.sortWithinPartitions("_name", "_least")
+    kinds = [key, *(T.StructField(c, binary if c in ("_key", "_words") else long) for c in columns[1:])]
+    members = store(suspect.mapInArrow(find, T.StructType(kinds)), "stretches")
+    hot = store(members.groupBy("_name").agg(F.count_distinct("_key").alias("_n")).where(F.col("_n") > HOT_STRETCHES).select("_name"), "hot")
+    crowd = members.join(hot, "_name", "left_semi")
+    crowded = store(crowd.groupBy("_name", "_key", "_words").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")), "crowded")
+
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each window's place in its stretch and hash."""
+        for batch in batches:
+            split = [zlib.decompress(w).split(b" ") for w in batch.column(4).to_pylist()]
+            sizes = np.array([len(w) for w in split], np.int64)
+            h = np.array(word_hashes(list(chain.from_iterable(split))), np.uint64)
+            place, w = window_names(h, sizes, window, window)
+            owner = np.repeat(np.arange(len(split)), sizes)[place]
+            at = place - (np.cumsum(sizes) - sizes)[owner]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(owner)) for c in batch.columns[:4]), pa.array(at), pa.array(w)], names=["_name", "_key", "_least", "_most", "_at", "_w"])
+
+    marks = [T.StructField("_name", long), T.StructField("_key", binary)]
+    ids = [field(df, id_col, c) for c in ("_least", "_most")]
+    each = crowded.select("_name", "_key", "_least", "_most", "_words").mapInArrow(windows_of, T.StructType([*marks, *ids, T.StructField("_at", long), T.StructField("_w", long)]))
+    twice = each.groupBy("_name", "_w").agg(F.min("_least").alias("_a"), F.max("_most").alias("_b")).where("_a < _b").select("_name", "_w")
+    left = each.join(twice, ["_name", "_w"]).groupBy("_name", "_key").agg(F.collect_set("_at").alias("_at"))
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each stretch the runs of windows that repeat."""
+        for batch in batches:
+            row, start, parts = [], [], []
+            for i, (text, at) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                words, at = zlib.decompress(text).split(b" "), np.sort(np.array(at, np.int64))
+                for run in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1):
+                    row.append(i)
+                    start.append(int(run[0]))
+                    parts.append(words[run[0] : run[-1] + window])
+            texts = [b" ".join(w) for w in parts]
+            made = [pa.array(start, pa.int64()), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), pa.array([len(w) for w in parts], pa.int64()), pa.array([zlib.compress(t, 1) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row, pa.int64())) for c in batch.columns[:3]), *made], names=[*names, "_from", "_part", "_length", "_words"])
+
+    names = ["_name", "_key", "_least"]
+    more = [T.StructField("_from", long), T.StructField("_part", binary), T.StructField("_length", long), T.StructField("_words", binary)]
+    short = store(crowded.join(left, ["_name", "_key"]).select(*names, "_words", "_at").mapInArrow(shorten, T.StructType([*marks, ids[0], *more])), "shortened")
+    calm = members.join(hot, "_name", "left_anti")
+    crowd = crowd.drop("_words").join(short.drop("_words", "_least"), ["_name", "_key"])
+    crowd = crowd.select("_id", "_row", (F.col("_start") + F.col("_from")).alias("_start"), "_name", F.col("_part").alias("_key"), F.col("_length").alias("_n"))
+    pieces = calm.select("_name", "_key", "_words", F.col("_id").alias("_least")).union(short.select("_name", F.col("_part").alias("_key"), "_words", "_least"))
+    pieces = pieces.groupBy("_name", "_key", "_words").agg(F.min("_least").alias("_least"))
+    shards = pieces.repartition("_name").sortWithinPartitions("_name", "_least")
+    members = calm.select(*columns[:6]).union(crowd)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, reference, waiting, least = None, Reference(window), [], None
         for batch in batches:
-            names, texts, leasts = (batch.column(k).to_pylist() for k in range(3))
-            texts, starts = [zlib.decompress(t) for t in texts], []
+            names, texts, leasts, starts = *(batch.column(k).to_pylist() for k in (0, 2, 3)), []
             for name, text, one in zip(names, texts, leasts, strict=True):
-                words = text.split(b" ")
+                words = zlib.decompress(text).split(b" ")
                 if name != current:
                     current, reference, waiting, least = name, Reference(window), [], one
                 if one != least:  # stretches of one id don't count against one another
@@ -254,14 +292,12 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                     waiting, least = [], one
                 starts.append(reference.known(words))
                 waiting.append(words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), batch.column(2), pa.array(starts, pa.list_(pa.int64()))], names=["_name", "_key", "_least", "_known"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(starts, pa.list_(pa.int64()))], names=["_name", "_key", "_least", "_known"])
 
-    judged = shards.select("_name", "_words", "_least").mapInArrow(
+    judged = shards.select("_name", "_key", "_words", "_least").mapInArrow(
         search, T.StructType([T.StructField("_name", long), T.StructField("_key", binary), field(df, id_col, "_least"), T.StructField("_known", T.ArrayType(long))])
     )
     # a stretch that a smaller id holds repeats whole; for the smallest id itself, only the windows found
-    cols = [key, T.StructField("_row", binary), T.StructField("_start", long), T.StructField("_name", long), T.StructField("_key", binary), T.StructField("_n", long)]
-    members = suspect.mapInArrow(member, T.StructType(cols))
     joined = members.join(judged, ["_name", "_key"])
     whole = F.col("_id") > F.col("_least")
     windows = F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("_n") - window).cast("long").alias("b")))).otherwise(F.transform("_known", lambda k: F.struct(k.alias("a"), k.alias("b"))))
@@ -280,15 +316,15 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                 gone = np.cumsum(step)[:-1] > 0
                 edge = np.flatnonzero(np.diff(np.r_[False, gone, False]))
                 kept, sha = _digest([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-                out.append((hashlib.sha256(b" ".join(words)).hexdigest(), int(gone.sum()), sha, [{"start": int(a), "length": int(b - a)} for a, b in edge.reshape(-1, 2)], kept))
-            columns = list(zip(*out, strict=True))
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["_id", "_sha", "_removed", "_kept_sha", "spans", "kept_text"])
+                out.append((int(gone.sum()), sha, [{"start": int(a), "length": int(b - a)} for a, b in edge.reshape(-1, 2)], kept))
+            made = list(zip(*out, strict=True))
+            kinds = [pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], names=["_id", "_row", "_removed", "_kept_sha", "spans", "kept_text"])
 
-    texts = suspect.select("_id", "_text", "_row").dropDuplicates(["_id", "_row"]).join(covered, ["_id", "_row"]).select("_id", "_text", "_covered")
-    names = [key, T.StructField("_sha", T.StringType()), T.StructField("_removed", T.LongType()), T.StructField("_kept_sha", T.StringType()), T.StructField("spans", span), T.StructField("kept_text", T.StringType())]
+    texts = suspect.join(covered, ["_id", "_row"]).select("_id", "_text", "_covered", "_row")
+    names = [key, T.StructField("_row", long), T.StructField("_removed", long), T.StructField("_kept_sha", T.StringType()), T.StructField("spans", span), T.StructField("kept_text", T.StringType())]
     changed = texts.mapInArrow(remove, T.StructType(names))
-    out = base.select("_id", "n_words", "_sha").join(changed, ["_id", "_sha"], "left")
+    out = base.select("_id", "_row", "n_words", "_sha").join(changed, ["_id", "_row"], "left")
     removed, sha = F.coalesce("_removed", F.lit(0)).cast("long"), F.coalesce("_kept_sha", "_sha")
     return out.select(F.col("_id").alias(id_col), "n_words", removed.alias("n_removed"), sha.alias("kept_sha256"), F.coalesce("spans", F.array().cast(span)).alias("spans"), "kept_text")
 
