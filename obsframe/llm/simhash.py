@@ -8,8 +8,9 @@ parent) and follows only edges within the radius. Trees of the whole corpus
 grow with it, so they are dealt out by key instead of broadcast.
 
 `similar_texts` links by exact Jaccard similarity of the shingle sets instead:
-shards are named by shingles that similar sets must share, fingerprints of
-twice the bits leave out unlike pairs there, and the rest are compared whole.
+shards are named by each set's least shingle hashes, fingerprints of twice the
+bits are searched in BK-trees there at a radius that similar sets are far
+within, and what is found is compared whole.
 """
 
 from __future__ import annotations
@@ -24,12 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsframe.llm.common import cut, field, slices, texts_of
+from obsframe.llm.common import cut, field, slices, store, texts_of
 from obsframe.llm.components import components
 
 BITS = 64
 #: Of 128 bits, how many may differ in a pair that is compared whole. At a similarity of 0.8 about 19 (deviation 4) do, in unlike texts 64 (6).
-SIEVE = 40
+SIEVE = 30
+#: Least shingle hashes of a set that name its shards: one set in 0.2**5 of a similarity of 0.8 shares none of them.
+KEYS = 5
+#: Fingerprints of a shard that are put into one tree when components are first sought; later the whole shard is.
+TREE = 1000
 #: Sets of fewer shingles are compared whatever their bits.
 SIEVE_LEAST = 16
 
@@ -71,13 +76,10 @@ class BKTree:
     def __init__(self, radius: int):
         self.radius, self.root = radius, None
 
-    def near_then_add(self, value: int) -> list[int]:
-        """Values held so far within the radius of `value`, which is then put in."""
+    def near(self, value: int) -> list[int]:
+        """Values held that are within the radius of `value`."""
         near, r = [], self.radius
-        if self.root is None:
-            self.root = [value, {}]
-            return near
-        stack = [self.root]
+        stack = [] if self.root is None else [self.root]
         while stack:
             other, children = stack.pop()
             d = (value ^ other).bit_count()
@@ -85,6 +87,14 @@ class BKTree:
                 near.append(other)
             if children:
                 stack += [child for e, child in children.items() if d - r <= e <= d + r]
+        return near
+
+    def near_then_add(self, value: int) -> list[int]:
+        """Values held so far within the radius of `value`, which is then put in."""
+        near = self.near(value)
+        if self.root is None:
+            self.root = [value, {}]
+            return near
         node = self.root
         while (d := (value ^ node[0]).bit_count()) in node[1]:
             node = node[1][d]
@@ -165,8 +175,8 @@ def near_duplicates(df: DataFrame, words: int = 4, radius: int = 4, id_col: str
 
 
 def _sketch(text: str, words: int, similarity: float) -> tuple[int, int, int, int, list[int]]:
-    """Of the set of shingles: its name (0 if empty), size, 128 bits as two longs, and its least hashes, of
-    which any set that is as similar shares one."""
+    """Of the set of shingles: its name (0 if empty), size, 128 bits as two longs, and its least hashes, KEYS at
+    most; any set that is as similar shares one of the first 1 - `similarity`, and likely one of so few."""
     from xxhash import xxh64_intdigest
 
     h = np.unique(np.array([xxh64_intdigest(p, 42) for p in set(shingles(text, words))], np.uint64))
@@ -178,7 +188,7 @@ def _sketch(text: str, words: int, similarity: float) -> tuple[int, int, int, in
         halves.append(int(np.packbits(2 * ones > len(k)).view(np.int64)[0]))
     signed = h.view(np.int64)
     name = np.array([xxh64_intdigest(h.tobytes()) | 1], np.uint64).view(np.int64)
-    return int(name[0]), len(h), *halves, signed[: len(h) - ceil(similarity * len(h) - 1e-9) + 1].tolist()
+    return int(name[0]), len(h), *halves, signed[: min(KEYS, len(h) - ceil(similarity * len(h) - 1e-9) + 1)].tolist()
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -196,21 +206,56 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
         yield rest
 
 
-def _candidates(columns: list[np.ndarray], similarity: float, furthest: int | None) -> pa.RecordBatch:
-    """Pairs of names (a < b) of the same key at most `furthest` rows apart (or any), of sizes and bits that may
-    be similar enough, in different components. Rows are sorted by key and size."""
-    key, size, name, one, two, component = columns
+def _small_pairs(columns: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Pairs of names of the same key, of small sets of sizes that may be similar enough, in different
+    components. Rows are sorted by key and size."""
+    small = columns[1] * similarity < SIEVE_LEAST
+    key, size, name, _, _, component = (c[small] for c in columns)
     found, at, d = [np.empty((0, 2), np.int64)], np.arange(len(key)), 1
-    while len(at) and (furthest is None or d <= furthest):
+    while len(at):
         at = at[at + d < len(key)]
         at = at[(key[at] == key[at + d]) & (size[at] >= similarity * size[at + d] - 1e-9)]
-        other = at + d
-        bits = np.bitwise_count((one[at] ^ one[other]).view(np.uint64)) + np.bitwise_count((two[at] ^ two[other]).view(np.uint64))
-        near = (component[at] != component[other]) & ((bits <= SIEVE) | (size[at] < SIEVE_LEAST))
-        found.append(np.sort(np.stack([name[at[near]], name[other[near]]], 1), axis=1))
+        near = at[component[at] != component[at + d]]
+        found.append(np.stack([name[near], name[near + d]], 1))
         d += 1
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    return np.concatenate(found)
+
+
+def _tree_pairs(columns: list[np.ndarray], first: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of names in different components of a shard whose fingerprints a BK-tree finds near: for each of them
+    the nearest, as far as no nearer ones join the two already, so fewer than the shard has names. At first trees hold TREE at most."""
+    key, size, name, one, two, component = (c[columns[1] >= SIEVE_LEAST] for c in columns)
+    if not len(key):
+        return
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    for a, b in zip(start, [*start[1:], len(key)], strict=True):
+        step = TREE if first else b - a
+        for k in range(a, b, step):
+            e = min(b, k + step)
+            if (component[k:e] != component[k]).any():
+                prints = [x << 64 | y for x, y in zip(one[k:e].view(np.uint64).tolist(), two[k:e].view(np.uint64).tolist(), strict=True)]
+                yield from _nearest_links(prints, name[k:e].tolist(), component[k:e].tolist())
+
+
+def _nearest_links(prints: list[int], names: list[int], parts: list[int]) -> Iterator[tuple[int, int]]:
+    tree, holders, parent = BKTree(SIEVE), {}, {p: p for p in parts}
+
+    def root(p: int) -> int:
+        while parent[p] != p:
+            parent[p] = p = parent[parent[p]]
+        return p
+
+    for v, n, part in zip(prints, names, parts, strict=True):
+        near = tree.near(v) if v in holders else tree.near_then_add(v)
+        for other in sorted(near, key=lambda u: (u ^ v).bit_count()):
+            for m, held in holders[other]:
+                if (x := root(part)) != (y := root(held)):
+                    parent[x] = y
+                    yield m, n
+        mine = holders.setdefault(v, [])
+        # of those with one fingerprint, one for each component is enough to meet the others
+        if all(root(part) != root(held) for _, held in mine):
+            mine.append((n, part))
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -233,10 +278,10 @@ def similar_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     """One row per input row: the id and `component_id`, the smallest id in the component of links
     between texts whose sets of shingles have a Jaccard similarity of at least `similarity`.
 
-    Sets that are that similar share one of their least 1 - `similarity` hashes, so
-    each of those names a shard. Every link is verified on the texts. First only
-    neighbours by size in a shard are compared; then all pairs that those links left
-    in different components, so that a large group of copies is not compared pair by pair.
+    Each of a set's KEYS least hashes names a shard. Every link is verified on the texts.
+    Each shard's BK-trees give each set its nearest, fewer pairs than sets; where verified
+    links left sets in different components, the trees are asked again. So a large group
+    of copies is not compared pair by pair. No link is wrong; tests measure how many are found.
     Texts without words are one component. Null ids never name a component that has
     another id. Other columns are left out; an empty table gives an empty table.
     """
@@ -254,27 +299,33 @@ def similar_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col
             more = np.r_[False, same] | np.r_[same, False]
             yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in columns], names=["key", "size", "name", "one", "two"])
 
-    def search(furthest: int | None):
-        return lambda batches: (_candidates(c, similarity, furthest) for c in _whole_groups(batches))
+    def search(first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for columns in _whole_groups(batches):
+                pairs = np.concatenate([_small_pairs(columns, similarity), np.array(list(_tree_pairs(columns, first)), np.int64).reshape(-1, 2)])
+                pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        return run
 
     dealt = lambda rows, *more: rows.repartition("key").sortWithinPartitions("key", "size", "one", "name").select("key", "size", "name", "one", "two", *more)
-    sketches = cut(df.select(F.col(id_col), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text")).mapInArrow(sketch, schema))
+    sketches = store(df.select(F.col(id_col), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text")).mapInArrow(sketch, schema))
     nodes = sketches.groupBy("name").agg(F.min(id_col).alias("_least"), *(F.first(c).alias(c) for c in ("size", "one", "two", "least", "_hash")))
-    nodes = cut(nodes)
+    nodes = store(nodes)
     shards = dealt(nodes.select(F.explode("least").alias("key"), "size", "name", "one", "two")).mapInArrow(shared, "key long, size long, name long, one long, two long")
-    shards = cut(shards)
+    shards = store(shards)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.distinct())
+        pairs = store(pairs.distinct())
         asked = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
         hashes = nodes.select("name", "_hash").join(asked, "name")
         texts = df.select(F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text")).join(hashes, "_hash").groupBy("name").agg(F.min("_text").alias("_text"))
-        return cut(_similar(pairs, cut(texts), words, similarity))
+        return cut(_similar(pairs, store(texts), words, similarity))
 
-    links = verified(dealt(shards, F.col("name").alias("component")).mapInArrow(search(1), "a long, b long"))
+    links = verified(dealt(shards, F.col("name").alias("component")).mapInArrow(search(True), "a long, b long"))
     roots = cut(components(links).withColumnRenamed("node", "name"))
     rooted = shards.join(roots, "name", "left").withColumn("component", F.coalesce("root", "name"))
-    links = links.union(verified(dealt(rooted, "component").mapInArrow(search(None), "a long, b long")))
+    links = links.union(verified(dealt(rooted, "component").mapInArrow(search(False), "a long, b long")))
     roots = components(links).withColumnRenamed("node", "name")
     rooted = cut(nodes.select("name", "_least").join(roots, "name", "left").select("name", F.coalesce("root", "name").alias("root"), "_least"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("_least").alias("component_id")), "root").select("name", "component_id")

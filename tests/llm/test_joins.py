@@ -12,6 +12,8 @@ import xxhash
 from compare import assert_same, database
 from pyspark.sql import functions as F
 
+from test_similar import brute_least
+
 import corpus_pipeline
 from obsframe.llm import language_model, queries
 from obsframe.llm.components import components
@@ -236,7 +238,7 @@ def test_pipeline(spark, tmp_path):
     ids = {n: {r.doc_id for r in d.collect()} for n, d in kept.items()}
     assert ids["language_id"] == ids["line_dedup"] == {r.doc_id for r in start.collect()}
     lines = [(r.doc_id, r.text) for r in kept["line_dedup"].collect()]
-    assert ids["near_dedup"] == {g for _, _, g in brute_groups(lines, 5, 4)}
+    assert ids["near_dedup"] == {g for _, g in brute_least(lines)}
     leaks = {k for (k,) in db.execute("SELECT DISTINCT doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)").fetchall()}
     assert ids["decontamination"] == ids["near_dedup"] - leaks
     assert len(ids["near_dedup"]) > 0.8 * len(ids["line_dedup"])

@@ -53,3 +53,19 @@ def test_similar_stage(spark):
     least = brute_least([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(r.doc_id for r in kept.collect()) == sorted({g for _, g in least})
     assert similar_texts(docs.limit(0)).collect() == []
+
+
+def test_recall_at_the_least_similarity(spark):
+    rng = random.Random(17)
+    words, texts = [f"w{k}" for k in range(3000)], []
+    for k in range(400):
+        text = rng.choices(words, k=rng.choice([40, 90, 200]))
+        other = list(text)
+        for at in rng.sample(range(0, len(text), 5), max(1, len(text) // 45)):
+            other[at] = "x"
+        texts += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+    sets = [set(shingles(t, 5)) for _, t in texts]
+    alike = {k for k in range(400) if 5 * len(sets[2 * k] & sets[2 * k + 1]) >= 4 * len(sets[2 * k] | sets[2 * k + 1])}
+    got = {r.doc_id: r.component_id for r in similar_texts(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    found = {k for k in range(400) if got[2 * k] == got[2 * k + 1]}
+    assert len(alike) > 100 and found <= alike and len(found) >= 0.98 * len(alike)
