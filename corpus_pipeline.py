@@ -18,7 +18,7 @@ from obsframe.llm.common import documents, fold, free_name, use_checkpoint_dir
 from obsframe.llm.decontamination import find_overlaps
 from obsframe.llm.line_dedup import drop_recurring_lines
 from obsframe.llm.packing import pack
-from obsframe.llm.simhash import near_duplicates, similar_texts
+from obsframe.llm.simhash import similar_texts
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,39 +33,32 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template recurs stay in their first document only; n_chars follows the text."""
+    """Lines whose template recurs stay in their first document only; n_chars follows the text. Null texts stay null."""
     kept = drop_recurring_lines(docs)
     return kept.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked SimHash fingerprints (shingles of five words, at most 4 of 64 bits
-    differ) the document with the smallest id stays. Texts without words are one component.
-    Rows that agree in id and text are one document; other texts under the id that stays stay
-    too. Rows without an id stay: no group can name them."""
-    return _keep_first(docs, near_duplicates(docs, words=5, radius=4))
-
-
-def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As keep_one_of_near_copies, but linked where the sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
-    return _keep_first(docs, similar_texts(docs, words=5, similarity=0.8))
-
-
-def _keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each component of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+    more (found by their SimHash fingerprints, then verified) the document with the smallest id stays.
+    Texts without words are one component. Rows that agree in id and text are one document; other
+    texts under the id that stays stay too. Rows without an id stay: no group can name them."""
+    found = similar_texts(docs, words=5, similarity=0.8)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
+    """Documents that overlap a benchmark item of LEAST_ITEM words or more go: shorter ones say too little to
+    drop a document for. Null and empty texts stay."""
     result = free_name(docs, "_overlaps")
     found = find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), result=result)
     return found.where(F.size(result) == 0).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that are left, in sequences of at most 1024 tokens."""
+    """Pieces of the documents that are left, in sequences of at most 1024 tokens; null texts are the end alone."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -77,8 +70,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: The same with near copies found by verified similarity.
-SIMILAR_STAGES = [("near_dedup", keep_one_of_similar) if name == "near_dedup" else (name, stage) for name, stage in STAGES]
+#: Near copies are found by similarity in any case; the name stays for those who chose it.
+SIMILAR_STAGES = STAGES
 
 #: Language ID, SimHash and packing can't be written in SQL; tests compare the pipeline with plain Python.
 ORACLE_SQL: str | None = None
