@@ -11,7 +11,6 @@ import pytest
 import xxhash
 from compare import assert_same, database
 from pyspark.sql import functions as F
-
 from test_similar import brute_least
 
 import corpus_pipeline
