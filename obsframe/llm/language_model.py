@@ -2,9 +2,12 @@
 
 log p(word | history) = log p(class | history) + log p(word | class). The class
 part is a softmax over a few classes, linear in features of the history: the
-hashed word before, the pair of classes before, and the pair that a skip over those reaches. It is
-trained by gradient steps in every task, whose weights are averaged after each
-round. The word part comes from the counts of the whole training corpus.
+hashed word before, the hashed two words before, the hashed word that a skip of
+one reaches, the pair of classes before and the pair that a skip over those
+reaches. It is trained by gradient steps in every task, whose weights are
+averaged after each round. The word part's only features are the words
+themselves, for which maximum entropy gives their relative counts, here plus
+one, over the whole training corpus.
 """
 
 from __future__ import annotations
@@ -25,14 +28,15 @@ from obsframe.llm.common import Memo, cut, field, slices, texts_of
 #: The most frequent words, whose counts are broadcast; this bounds the broadcast, other counts are joined.
 HEAD_WORDS = 100_000
 #: Classes: one for each of the most frequent words (the end of a text among them), the rest by how a word ends.
-SINGLE = 10
-CLASSES = 32
-#: Rows of weights for the hashed word before, and for each pair of classes.
+SINGLE = 16
+CLASSES = 64
+#: Rows of weights for each kind of hashed words, and for each pair of classes.
 BUCKETS = 1 << 13
 PAIRS = (CLASSES + 1) ** 2
 ROUNDS = 2
-#: Tokens in one gradient step, and its size.
-STEP = 16_384
+#: Tokens in one gradient step, how many of them are summed by one small matrix product, and the step's size.
+STEP = 4096
+RUN = 32
 RATE = 0.15
 #: The end of a text, as a token; no word holds white space.
 END = b"\n"
@@ -67,7 +71,7 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
 
 
 class Vocabulary:
-    """Counts of the head words, and the class of any word.
+    """Counts of the head words (sorted, the most frequent first), and the class of any word.
 
     The SINGLE most frequent tokens have a class each; others fall into classes
     by a hash of their last two bytes, so that a class is known without a table."""
@@ -83,9 +87,9 @@ class Vocabulary:
         return SINGLE + crc32(w[-2:]) % (CLASSES - SINGLE) if k is None else k
 
     def entries(self, words: list[bytes]) -> list[int]:
-        """For each word one number: class (8 bits), bucket of the hashed word (16), and 1 more than its count, or 0 outside the head."""
+        """For each word one number: class (8 bits), hash (16), and 1 more than its count, or 0 outside the head."""
         single, count = self.single, self.count
-        return [single.get(w, SINGLE + crc32(w[-2:]) % (CLASSES - SINGLE)) | crc32(w) % BUCKETS << 8 | (count.get(w, -1) + 1) << 24 for w in words]
+        return [single.get(w, SINGLE + crc32(w[-2:]) % (CLASSES - SINGLE)) | (crc32(w) & 0xFFFF) << 8 | (count.get(w, -1) + 1) << 24 for w in words]
 
     def log_class_size(self) -> np.ndarray:
         """log10 of what word counts plus one are divided by; a class of one word is that word."""
@@ -95,8 +99,9 @@ class Vocabulary:
 
 
 def head_words(counts: DataFrame) -> list[tuple[bytes, int]]:
-    """The most frequent words, HEAD_WORDS at most, sorted. The least count among them is read off a histogram
-    of logarithms, so no task or driver gathers more than that many; words of the count at the edge stay out together."""
+    """The most frequent words, sorted: SINGLE in any case, HEAD_WORDS at most besides. The least count among those
+    is read off a histogram of logarithms, so no task or driver gathers more than that many; words of the count at
+    the edge stay out together."""
     step = F.floor(F.log2("n") * 32)
     left, least = HEAD_WORDS, None
     for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True):
@@ -105,7 +110,8 @@ def head_words(counts: DataFrame) -> list[tuple[bytes, int]]:
             break
         least = r.step
     rows = counts.where(step >= least).collect() if least is not None else []
-    return sorted(((bytes(r.word), r.n) for r in rows), key=lambda x: (-x[1], x[0]))
+    rows += counts.orderBy(F.desc("n"), "word").limit(SINGLE).collect()
+    return sorted({(bytes(r.word), r.n) for r in rows}, key=lambda x: (-x[1], x[0]))
 
 
 def class_totals(counts: DataFrame, vocabulary: Vocabulary) -> None:
@@ -138,50 +144,76 @@ class Encoded:
         place = np.arange(len(table)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.features = self._features(table >> 8 & 0xFFFF, place)
 
-    def _features(self, bucket: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-        """For each weight table the rows of all tokens: the word before, the two classes before, and
-        (skipping those) the two classes before them."""
+    def _features(self, hashed: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+        """For each weight table the rows of all tokens: the word before, the two words before, the word
+        before that one, the two classes before, and (skipping those) the two classes before them."""
 
         def back(values: np.ndarray, d: int, none: int) -> np.ndarray:
-            out = np.full(len(values), none, np.int16)
+            out = np.full(len(values), none, values.dtype)
             out[d:] = np.where(place[d:] >= d, values[:-d], none)
             return out
 
+        one, two = back(hashed, 1, 0), back(hashed, 2, 0)
+        words = [one, (one * 31337 + two * 7919 + 17) % 65521, two * 40503 >> 3]
         c = [back(self.classes, d, CLASSES) for d in range(1, 5)]
-        return [back(bucket, 1, 0), c[0] * np.int16(CLASSES + 1) + c[1], c[2] * np.int16(CLASSES + 1) + c[3]]
+        pairs = [c[0] * (CLASSES + 1) + c[1], c[2] * (CLASSES + 1) + c[3]]
+        return [f.astype(np.int16) for f in [*(w % BUCKETS for w in words), *pairs]]
 
 
 #: First row of each table, and of the bias behind them.
-TABLES = (0, BUCKETS, BUCKETS + PAIRS)
-ROWS = BUCKETS + 2 * PAIRS + 1
+TABLES = (0, BUCKETS, 2 * BUCKETS, 3 * BUCKETS, 3 * BUCKETS + PAIRS)
+ROWS = 3 * BUCKETS + 2 * PAIRS + 1
+#: Turns RUN rows into their running sums.
+_RUNNING = np.tril(np.ones((RUN, RUN), np.float32))
+#: Class weights are held to this range before exp, which no float leaves then.
+_LIMIT = np.float32(60)
 
 
-def class_log_probabilities(weights: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
+def class_weights(weights: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
+    """exp of what each class gets from the features; a row's probabilities are in proportion to it."""
     z = weights[TABLES[0] :].take(features[0], axis=0)
     for start, rows in zip(TABLES[1:], features[1:], strict=True):
         z += weights[start:].take(rows, axis=0)
     z += weights[ROWS - 1]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+    np.clip(z, -_LIMIT, _LIMIT, out=z)
+    return np.exp(z, out=z)
+
+
+def class_log_probabilities(weights: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
+    e = class_weights(weights, features)
+    return np.log(e) - np.log(e.sum(1, keepdims=True))
+
+
+def sums_by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct `rows` and the sums of their `values`: differences of running sums over the sorted rows, which
+    a matrix product makes RUN at a time."""
+    order = np.argsort(rows, kind="stable")
+    row = rows[order]
+    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    last = np.r_[start[1:], len(row)] - 1
+    padded = np.zeros((-(-len(row) // RUN) * RUN, values.shape[1]), np.float32)
+    values.take(order, axis=0, out=padded[: len(row)])
+    running = np.matmul(_RUNNING, padded.reshape(-1, RUN, values.shape[1]))
+    before = np.cumsum(running[:, -1], axis=0) - running[:, -1]
+    sums = running.reshape(padded.shape).take(last, axis=0) + before.take(last // RUN, axis=0)
+    sums[1:] -= sums[:-1].copy()
+    return row[start], sums
 
 
 def gradient_steps(weights: np.ndarray, spread: np.ndarray, features: list[np.ndarray], classes: np.ndarray) -> None:
     """Steps over all tokens given, STEP at a time; `spread` holds each row's sum of squared slopes."""
+    ones = np.ones(CLASSES, np.float32)
     for at in range(0, len(classes), STEP):
         part, c = [f[at : at + STEP] for f in features], classes[at : at + STEP]
-        slope = np.exp(class_log_probabilities(weights, part))
+        slope = class_weights(weights, part)
+        slope /= (slope @ ones)[:, None]
         slope[np.arange(len(c)), c] -= 1
         for first, rows in zip(TABLES, part, strict=True):
-            order = np.argsort(rows, kind="stable")
-            row = rows[order]
-            start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            # differences of running sums: many short groups, where reduceat is slow
-            running = np.cumsum(slope.take(order, axis=0), axis=0)[np.r_[start[1:], len(row)] - 1]
-            total = np.diff(running, axis=0, prepend=np.float32(0))
-            row = row[start].astype(np.int64) + first
-            spread[row] += np.square(total).mean(1)
-            weights[row] -= np.float32(RATE) * total / np.sqrt(spread[row] + 1)[:, None]
+            row, total = sums_by_row(rows, slope)
+            row = row.astype(np.int64) + first
+            spread[row] += np.einsum("ij,ij->i", total, total) / CLASSES
+            total *= (np.float32(RATE) / np.sqrt(spread[row] + 1))[:, None]
+            weights[row] -= total
 
 
 def train(df: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) -> np.ndarray:

@@ -15,6 +15,7 @@ from test_similar import brute_least
 
 import corpus_pipeline
 from obsframe.llm import language_model, queries
+from obsframe.llm.common import Memo
 from obsframe.llm.components import components
 from obsframe.llm.decontamination import find_overlaps
 from obsframe.llm.line_dedup import drop_recurring_lines
@@ -183,15 +184,35 @@ def test_language_model_edges(spark):
     assert language_model.score_texts(frame(spark, []), F.lit(True)).collect() == []
 
 
-def test_class_model_is_a_distribution():
-    words = language_model.Vocabulary([(b"the", 9), (b"\n", 5), (b"cat", 2)])
+def test_language_model_is_a_distribution():
+    words = language_model.Vocabulary([(b"the", 19), (b"\n", 15), *((b"cat%d" % k, 12 - k % 9) for k in range(300))])
     for w, n in words.count.items():
         words.total[words.word_class(w)] += n
         words.types[words.word_class(w)] += 1
     weights = np.random.default_rng(0).normal(size=(language_model.ROWS, language_model.CLASSES)).astype(np.float32)
-    features = [np.array([1, 2], np.int16)] * 3
-    p = np.exp(language_model.class_log_probabilities(weights, features))
-    assert np.allclose(p.sum(1), 1, atol=1e-5)
+    texts = language_model.Encoded(["the cat7 cat1 the", "", "dog"], Memo(100, words.entries))
+    assert [len(f) for f in texts.features] == [len(texts.classes)] * len(language_model.TABLES) == [8] * len(language_model.TABLES)
+    size, single = 10 ** words.log_class_size(), len(words.single)
+    for p in np.exp(language_model.class_log_probabilities(weights, texts.features)):
+        seen = sum(p[k] if (k := words.word_class(w)) < single else p[k] * (n + 1) / size[k] for w, n in words.count.items())
+        assert math.isclose(seen + (p[single:] / size[single:]).sum(), 1, abs_tol=1e-5)
+
+
+def test_language_model_history_stays_in_its_text():
+    words = language_model.Vocabulary([])
+    both = language_model.Encoded(["a b c d e", "f g h"], Memo(100, words.entries))
+    alone = language_model.Encoded(["f g h"], Memo(100, words.entries))
+    assert all((x[-4:] == y).all() for x, y in zip(both.features, alone.features, strict=True))
+
+
+@pytest.mark.parametrize("n", [1, 31, 32, 33, 500])
+def test_sums_by_row(n):
+    random = np.random.default_rng(n)
+    rows, values = random.integers(0, 40, n).astype(np.int16), random.normal(size=(n, 8)).astype(np.float32)
+    row, total = language_model.sums_by_row(rows, values)
+    want = np.zeros((40, 8))
+    np.add.at(want, rows, values)
+    assert row.tolist() == sorted(set(rows.tolist())) and np.allclose(total, want[row], atol=1e-4)
 
 
 def test_vector_search_edges(spark):
