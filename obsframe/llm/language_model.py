@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsframe.llm.common import Memo, cut, field, slices, texts_of
+from obsframe.llm.common import Memo, cut, field, slices, store, texts_of
 
 #: The most frequent words, whose counts are broadcast; this bounds the broadcast, other counts are joined.
 HEAD_WORDS = 100_000
@@ -34,6 +34,8 @@ CLASSES = 64
 BUCKETS = 1 << 13
 PAIRS = (CLASSES + 1) ** 2
 ROUNDS = 2
+#: Tokens that a task of a round learns from, at least, where there are that many: tasks of few tokens learn little, and each returns a weight table.
+TASK_TOKENS = 2_000_000
 #: Tokens in one gradient step, how many of them are summed by one small matrix product, and the step's size.
 STEP = 4096
 RUN = 32
@@ -130,34 +132,50 @@ def class_totals(counts: DataFrame, vocabulary: Vocabulary) -> None:
         vocabulary.total[r.k], vocabulary.types[r.k] = r.total, r.types
 
 
+def encode(texts: list[str], memo: Memo) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """The tokens of each text, how many they are, and the vocabulary's entries of all, end to end."""
+    split = [tokens(t) for t in texts]
+    entries = memo.over(set().union(*split)).__getitem__
+    sizes = np.array([len(w) for w in split], np.int64)
+    return split, sizes, np.fromiter(map(entries, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+
+
 class Encoded:
-    """Texts end to end: their classes, buckets, head counts and the document of each token."""
-
-    def __init__(self, texts: list[str], memo: Memo):
-        split = [tokens(t) for t in texts]
-        entries = memo.over(set().union(*split)).__getitem__
-        sizes = np.array([len(w) for w in split], np.int64)
-        table = np.fromiter(map(entries, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        self.split, self.sizes = split, sizes
-        self.classes, self.count = table & 0xFF, (table >> 24) - 1
-        self.document = np.repeat(np.arange(len(split)), sizes)
-        place = np.arange(len(table)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.features = self._features(table >> 8 & 0xFFFF, place)
-
-    def _features(self, hashed: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """Texts end to end, by the low 24 bits of their entries: the class, document and features of each token."""
+
+    def __init__(self, codes: np.ndarray, sizes: np.ndarray):
+        self.classes = (codes & 0xFF).astype(np.int16)
+        self.document = np.repeat(np.arange(len(sizes)), sizes)
+        self.features = self._features((codes >> 8 & 0xFFFF).astype(np.uint32), self.classes, np.cumsum(sizes) - sizes)
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Encoded:
+        """From the columns `_codes` and `n_tokens`."""
+        codes = np.frombuffer(b"".join(batch.column("_codes").to_pylist()), np.int32)
+        return cls(codes, batch.column("n_tokens").to_numpy())
+
+    @staticmethod
+    def _features(hashed: np.ndarray, classes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         """For each weight table the rows of all tokens: the word before, the two words before, the word
         before that one, the two classes before, and (skipping those) the two classes before them."""
 
         def back(values: np.ndarray, d: int, none: int) -> np.ndarray:
-            out = np.full(len(values), none, values.dtype)
-            out[d:] = np.where(place[d:] >= d, values[:-d], none)
+            out = np.full_like(values, none)
+            out[d:] = values[:-d]
+            # what lies before the first token of a text is of another text
+            for k in range(d):
+                at = first + k
+                out[at[at < len(out)]] = none
             return out
 
+        def few_bits(h: np.ndarray) -> np.ndarray:
+            return h >> np.uint32(33 - BUCKETS.bit_length())
+
         one, two = back(hashed, 1, 0), back(hashed, 2, 0)
-        words = [one, (one * 31337 + two * 7919 + 17) % 65521, two * 40503 >> 3]
-        c = [back(self.classes, d, CLASSES) for d in range(1, 5)]
-        pairs = [c[0] * (CLASSES + 1) + c[1], c[2] * (CLASSES + 1) + c[3]]
-        return [f.astype(np.int16) for f in [*(w % BUCKETS for w in words), *pairs]]
+        words = [one % np.uint32(BUCKETS), few_bits(one * np.uint32(0x9E3779B1) + two * np.uint32(0x85EBCA77)), few_bits(two * np.uint32(0xC2B2AE3D))]
+        c = [back(classes, d, CLASSES) for d in range(1, 5)]
+        pairs = [c[0] * np.int16(CLASSES + 1) + c[1], c[2] * np.int16(CLASSES + 1) + c[3]]
+        return [*(w.astype(np.int16) for w in words), *pairs]
 
 
 #: First row of each table, and of the bias behind them.
@@ -165,6 +183,7 @@ TABLES = (0, BUCKETS, 2 * BUCKETS, 3 * BUCKETS, 3 * BUCKETS + PAIRS)
 ROWS = 3 * BUCKETS + 2 * PAIRS + 1
 #: Turns RUN rows into their running sums.
 _RUNNING = np.tril(np.ones((RUN, RUN), np.float32))
+_ONES = np.ones(CLASSES, np.float32)
 #: Class weights are held to this range before exp, which no float leaves then.
 _LIMIT = np.float32(60)
 
@@ -179,9 +198,10 @@ def class_weights(weights: np.ndarray, features: list[np.ndarray]) -> np.ndarray
     return np.exp(z, out=z)
 
 
-def class_log_probabilities(weights: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
+def class_log_probabilities(weights: np.ndarray, features: list[np.ndarray], classes: np.ndarray) -> np.ndarray:
+    """The log-probability of each token's class."""
     e = class_weights(weights, features)
-    return np.log(e) - np.log(e.sum(1, keepdims=True))
+    return np.log(e[np.arange(len(classes)), classes]) - np.log(e @ _ONES)
 
 
 def sums_by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,8 +211,9 @@ def sums_by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nd
     row = rows[order]
     start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     last = np.r_[start[1:], len(row)] - 1
-    padded = np.zeros((-(-len(row) // RUN) * RUN, values.shape[1]), np.float32)
-    values.take(order, axis=0, out=padded[: len(row)])
+    padded = np.empty((-(-len(row) // RUN) * RUN, values.shape[1]), np.float32)
+    values.take(order, axis=0, out=padded[: len(row)], mode="clip")
+    padded[len(row) :] = 0
     running = np.matmul(_RUNNING, padded.reshape(-1, RUN, values.shape[1]))
     before = np.cumsum(running[:, -1], axis=0) - running[:, -1]
     sums = running.reshape(padded.shape).take(last, axis=0) + before.take(last // RUN, axis=0)
@@ -202,11 +223,10 @@ def sums_by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def gradient_steps(weights: np.ndarray, spread: np.ndarray, features: list[np.ndarray], classes: np.ndarray) -> None:
     """Steps over all tokens given, STEP at a time; `spread` holds each row's sum of squared slopes."""
-    ones = np.ones(CLASSES, np.float32)
     for at in range(0, len(classes), STEP):
         part, c = [f[at : at + STEP] for f in features], classes[at : at + STEP]
         slope = class_weights(weights, part)
-        slope /= (slope @ ones)[:, None]
+        slope /= (slope @ _ONES)[:, None]
         slope[np.arange(len(c)), c] -= 1
         for first, rows in zip(TABLES, part, strict=True):
             row, total = sums_by_row(rows, slope)
@@ -216,29 +236,68 @@ def gradient_steps(weights: np.ndarray, spread: np.ndarray, features: list[np.nd
             weights[row] -= total
 
 
-def train(df: DataFrame, vocabulary: Vocabulary, id_col: str, text_col: str) -> np.ndarray:
-    """Weights after ROUNDS rounds; each round takes its share of the documents (by a hash of the id), so
+def encode_texts(df: DataFrame, vocabulary: Vocabulary, full: bool, learn: Column, id_col: str, text_col: str) -> DataFrame:
+    """Each row's id, whether and in which round it is learned from, its tokens' classes and hashes as numbers of
+    4 bytes, its figures so far (the score without the class part), and the words that aren't head words with how
+    often they occur; none if every word of the corpus is one (`full`)."""
+    sent = df.sparkSession.sparkContext.broadcast(vocabulary)
+    schema = T.StructType(
+        [T.StructField("_row", T.LongType()), field(df, id_col, "_id"), T.StructField("_learn", T.BooleanType()), T.StructField("_round", T.LongType())]
+        + [T.StructField("_codes", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("_known", T.LongType())]
+        + [T.StructField(c, T.DoubleType()) for c in ("_base", "_score")]
+        + [T.StructField("_rare", T.ArrayType(T.BinaryType())), T.StructField("_times", T.ArrayType(T.LongType()))]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = sent.value
+        memo = Memo(MEMO_ENTRIES, words.entries)
+        size = words.log_class_size()
+        for batch in slices(batches, "_text"):
+            split, sizes, table = encode(texts_of(batch, "_text"), memo)
+            n = len(sizes)
+            document, classes, count = np.repeat(np.arange(n), sizes), table & 0xFF, (table >> 24) - 1
+            log_count = np.log10(np.maximum(count, 0) + 1.0)
+            by_text = lambda x, d=document, n=n: np.bincount(d, x, n)
+            score = by_text(np.where(classes < len(words.single), 0, log_count) - size[classes])
+            codes, start = (table & 0xFFFFFF).astype(np.int32), np.r_[0, np.cumsum(sizes)]
+            rare, times = [], []
+            for i, w in enumerate(split):
+                found = Counter() if full else Counter(w[k] for k in np.flatnonzero(count[start[i] : start[i + 1]] < 0).tolist())
+                rare.append(list(found))
+                times.append(list(found.values()))
+            pieces = [codes[a:b].tobytes() for a, b in zip(start[:-1], start[1:], strict=True)]
+            columns = [sizes, by_text(count > 0).astype(np.int64), by_text(log_count), score]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:4], pa.array(pieces, pa.binary()), *map(pa.array, columns), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))], names=schema.names
+            )
+
+    turn = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(ROUNDS))
+    read = df.select(F.monotonically_increasing_id(), F.col(id_col), F.coalesce(learn, F.lit(False)), turn.alias("_turn"), F.col(text_col).alias("_text"))
+    return store(read.mapInArrow(run, schema), "encoded")
+
+
+def train(encoded: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """Weights after ROUNDS rounds over texts as `encode_texts` gives them; each round takes its share of the documents (by a hash of the id), so
     every document is learned from once. What tasks return is one weight table each, summed up in a tree."""
     weights = np.zeros((ROWS, CLASSES), np.float32)
     # the bias starts at the classes' own frequencies
     weights[ROWS - 1] = np.log((vocabulary.total + 1) / (vocabulary.total.sum() + CLASSES))
-    words = df.sparkSession.sparkContext.broadcast(vocabulary)
+    tasks = max(1, int(vocabulary.total.sum() / ROUNDS / TASK_TOKENS))
     for n in range(ROUNDS):
-        share = df.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(ROUNDS)) == n)
-        sent = df.sparkSession.sparkContext.broadcast(weights)
+        share = encoded.where(F.col("_learn") & (F.col("_round") == n))
+        sent = encoded.sparkSession.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own, spread, seen = sent.value.copy(), np.zeros(ROWS, np.float32), 0
-            memo = Memo(MEMO_ENTRIES, words.value.entries)
-            for batch in slices(batches, "_text"):
-                texts = Encoded(texts_of(batch, "_text"), memo)
+            for batch in slices(batches, "_codes"):
+                texts = Encoded.of(batch)
                 gradient_steps(own, spread, texts.features, texts.classes)
                 seen += len(texts.classes)
             if seen:
                 change = ((own - sent.value) * np.float32(seen)).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([change], pa.binary()), pa.array([seen], pa.int64())], names=["change", "seen"])
 
-        moved = share.select(F.col(text_col).alias("_text")).mapInArrow(run, "change binary, seen long")
+        moved = share.select("_codes", "n_tokens").coalesce(tasks).mapInArrow(run, "change binary, seen long")
         add = lambda a, b: (a[0] + b[0], a[1] + b[1])
         change, seen = moved.rdd.map(lambda r: (np.frombuffer(r.change, np.float32), r.seen)).treeAggregate((np.float32(0), 0), add, add, 3)
         if seen:
@@ -259,7 +318,8 @@ def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     carried along; other columns are left out; an empty table gives an empty one.
 
     Head words' counts go out by broadcast (HEAD_WORDS bounds it); for the rest,
-    each text's rarer words are joined to the table of counts.
+    each text's rarer words are joined to the table of counts. Texts are read
+    twice, to count and to encode; training and scoring read the encoded ones.
     """
     spark = df.sparkSession
     learned = df.where(learn)
@@ -268,48 +328,24 @@ def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     head = head_words(counts)
     vocabulary = Vocabulary(head)
     class_totals(counts, vocabulary)
-    model = spark.sparkContext.broadcast((vocabulary, train(learned, vocabulary, id_col, text_col)))
-    full = len(head) == types
-    schema = T.StructType(
-        [T.StructField("_row", T.LongType()), field(df, id_col), T.StructField("n_tokens", T.LongType()), T.StructField("_known", T.LongType())]
-        + [T.StructField(c, T.DoubleType()) for c in ("_base", "_score")]
-        + [T.StructField("_rare", T.ArrayType(T.BinaryType())), T.StructField("_times", T.ArrayType(T.LongType()))]
-    )
+    encoded = encode_texts(df, vocabulary, len(head) == types, learn, id_col, text_col)
+    model = spark.sparkContext.broadcast(train(encoded, vocabulary))
+    passed = ("_row", "_id", "n_tokens", "_known", "_base", "_score", "_rare", "_times")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights = model.value
-        memo = Memo(MEMO_ENTRIES, words.entries)
-        size = words.log_class_size()
-        for batch in slices(batches, "_text"):
-            texts = Encoded(texts_of(batch, "_text"), memo)
-            n = len(texts.sizes)
+        for batch in slices(batches, "_codes"):
+            texts = Encoded.of(batch)
             log_p = np.empty(len(texts.classes))
             for at in range(0, len(log_p), STEP):
-                c = texts.classes[at : at + STEP]
-                log_p[at : at + STEP] = class_log_probabilities(weights, [f[at : at + STEP] for f in texts.features])[np.arange(len(c)), c]
-            known = texts.count > 0
-            log_count = np.log10(np.maximum(texts.count, 0) + 1.0)
-            single = texts.classes < len(words.single)
-            by_text = lambda x, d=texts.document, n=n: np.bincount(d, x, n)
-            score = by_text(log_p / np.log(10) - size[texts.classes] + np.where(single, 0, log_count))
-            rare, times = [], []
-            start = np.r_[0, np.cumsum(texts.sizes)]
-            unseen = texts.count < 0
-            for i, w in enumerate(texts.split):
-                found: dict[bytes, int] = {}
-                if not full:
-                    for k in np.flatnonzero(unseen[start[i] : start[i + 1]]).tolist():
-                        found[w[k]] = found.get(w[k], 0) + 1
-                rare.append(list(found))
-                times.append(list(found.values()))
-            columns = [texts.sizes, by_text(known).astype(np.int64), by_text(log_count), score]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))], names=schema.names)
+                log_p[at : at + STEP] = class_log_probabilities(model.value, [f[at : at + STEP] for f in texts.features], texts.classes[at : at + STEP])
+            score = batch.column("_score").to_numpy() + np.bincount(texts.document, log_p / np.log(10), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(score) if c == "_score" else batch.column(c) for c in passed], names=passed)
 
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    rows = encoded.select(*passed, "_codes").mapInArrow(run, encoded.select(*passed).schema)
     # one row for each rare word; the text's own figures travel on the first only
     words = rows.select("*", F.posexplode_outer(F.arrays_zip(F.col("_rare").alias("word"), F.col("_times").alias("times"))).alias("_at", "_w"))
     first = F.coalesce("_at", F.lit(0)) == 0
-    figures = (id_col, "n_tokens", "_known", "_base", "_score")
+    figures = ("_id", "n_tokens", "_known", "_base", "_score")
     # a text without rare words gets a key of its own, so that such rows don't meet in one task
     key = F.coalesce("_w.word", F.concat(F.lit(" "), F.col("_row").cast("string")).cast("binary"))
     single = words.select("_row", key.alias("word"), F.coalesce("_w.times", F.lit(0)).alias("times"), *(F.when(first, F.col(c)).alias(c) for c in figures))
@@ -319,7 +355,7 @@ def score_texts(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     kept = [F.max(c).alias(c) for c in figures]
     summed = joined.groupBy("_row").agg(*kept, F.sum(gain).alias("_gain"), F.coalesce(F.sum(seen), F.lit(0)).alias("_seen"))
     return summed.select(
-        id_col,
+        F.col("_id").alias(id_col),
         "n_tokens",
         (F.col("_known") + F.col("_seen")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),

@@ -184,24 +184,30 @@ def test_language_model_edges(spark):
     assert language_model.score_texts(frame(spark, []), F.lit(True)).collect() == []
 
 
+def encoded(texts, words):
+    _, sizes, entries = language_model.encode(texts, Memo(100, words.entries))
+    return language_model.Encoded(entries & 0xFFFFFF, sizes)
+
+
 def test_language_model_is_a_distribution():
     words = language_model.Vocabulary([(b"the", 19), (b"\n", 15), *((b"cat%d" % k, 12 - k % 9) for k in range(300))])
     for w, n in words.count.items():
         words.total[words.word_class(w)] += n
         words.types[words.word_class(w)] += 1
     weights = np.random.default_rng(0).normal(size=(language_model.ROWS, language_model.CLASSES)).astype(np.float32)
-    texts = language_model.Encoded(["the cat7 cat1 the", "", "dog"], Memo(100, words.entries))
+    texts = encoded(["the cat7 cat1 the", "", "dog"], words)
     assert [len(f) for f in texts.features] == [len(texts.classes)] * len(language_model.TABLES) == [8] * len(language_model.TABLES)
     size, single = 10 ** words.log_class_size(), len(words.single)
-    for p in np.exp(language_model.class_log_probabilities(weights, texts.features)):
+    by_class = [language_model.class_log_probabilities(weights, texts.features, np.full(8, k)) for k in range(language_model.CLASSES)]
+    for p in np.exp(np.stack(by_class, 1)):
         seen = sum(p[k] if (k := words.word_class(w)) < single else p[k] * (n + 1) / size[k] for w, n in words.count.items())
         assert math.isclose(seen + (p[single:] / size[single:]).sum(), 1, abs_tol=1e-5)
 
 
 def test_language_model_history_stays_in_its_text():
     words = language_model.Vocabulary([])
-    both = language_model.Encoded(["a b c d e", "f g h"], Memo(100, words.entries))
-    alone = language_model.Encoded(["f g h"], Memo(100, words.entries))
+    both = encoded(["a b c d e", "f g h"], words)
+    alone = encoded(["f g h"], words)
     assert all((x[-4:] == y).all() for x, y in zip(both.features, alone.features, strict=True))
 
 
