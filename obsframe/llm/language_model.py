@@ -14,16 +14,16 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsframe.llm.common import Memo, cut, field, slices, store, texts_of
+from obsframe.llm.common import Memo, cut, field, slices, store
 
 #: The most frequent words, whose counts are broadcast; this bounds the broadcast, other counts are joined.
 HEAD_WORDS = 100_000
@@ -36,7 +36,7 @@ PAIRS = (CLASSES + 1) ** 2
 ROUNDS = 2
 #: Tokens that a task of a round learns from, at least, where there are that many: tasks of few tokens learn little, and each returns a weight table.
 TASK_TOKENS = 2_000_000
-#: Tokens in one gradient step, how many of them are summed by one small matrix product, and the step's size.
+#: Tokens in one gradient step, how many of them a running sum goes over, and the step's size.
 STEP = 4096
 RUN = 32
 RATE = 0.15
@@ -47,8 +47,21 @@ MEMO_ENTRIES = 250_000
 COUNTED = 500_000
 
 
-def tokens(text: str) -> list[bytes]:
-    return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
+def tokenise(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct tokens of `texts` (null counts as empty), the place in them of each token, end to end, and how
+    many tokens each text has. The words are split and told apart by Arrow, so what follows is done once a word."""
+    split = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(pa.compute.fill_null(texts, "")))
+    words, offsets = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+    # white space at an end of a text leaves an empty word there
+    held = pa.compute.greater(pa.compute.binary_length(words), 0)
+    before = np.r_[0, np.cumsum(held.to_numpy(zero_copy_only=False), dtype=np.int64)]
+    sizes = np.diff(before[offsets]) + 1
+    found = words.filter(held).dictionary_encode()
+    place = np.full(int(sizes.sum()), len(found.dictionary), np.int64)
+    inside = np.ones(len(place), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    place[inside] = found.indices.to_numpy()
+    return [*found.dictionary.cast(pa.binary()).to_pylist(), END], place, sizes
 
 
 def word_counts(df: DataFrame, text_col: str) -> DataFrame:
@@ -57,8 +70,8 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in slices(batches, "_text"):
-            for text in texts_of(batch, "_text"):
-                counts.update(tokens(text))
+            words, place, _ = tokenise(batch.column("_text"))
+            counts.update(dict(zip(words, np.bincount(place, minlength=len(words)).tolist(), strict=True)))
             if len(counts) > COUNTED:
                 yield flush(counts)
                 counts = Counter()
@@ -132,12 +145,11 @@ def class_totals(counts: DataFrame, vocabulary: Vocabulary) -> None:
         vocabulary.total[r.k], vocabulary.types[r.k] = r.total, r.types
 
 
-def encode(texts: list[str], memo: Memo) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """The tokens of each text, how many they are, and the vocabulary's entries of all, end to end."""
-    split = [tokens(t) for t in texts]
-    entries = memo.over(set().union(*split)).__getitem__
-    sizes = np.array([len(w) for w in split], np.int64)
-    return split, sizes, np.fromiter(map(entries, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+def encode(texts: pa.Array | list, memo: Memo) -> tuple[tuple[list[bytes], np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct tokens with each token's place in them, how many tokens each text has, and the vocabulary's entries of all, end to end."""
+    words, place, sizes = tokenise(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+    known = memo.over(set(words))
+    return (words, place), sizes, np.fromiter(map(known.__getitem__, words), np.int64, len(words))[place]
 
 
 class Encoded:
@@ -181,8 +193,6 @@ class Encoded:
 #: First row of each table, and of the bias behind them.
 TABLES = (0, BUCKETS, 2 * BUCKETS, 3 * BUCKETS, 3 * BUCKETS + PAIRS)
 ROWS = 3 * BUCKETS + 2 * PAIRS + 1
-#: Turns RUN rows into their running sums.
-_RUNNING = np.tril(np.ones((RUN, RUN), np.float32))
 _ONES = np.ones(CLASSES, np.float32)
 #: Class weights are held to this range before exp, which no float leaves then.
 _LIMIT = np.float32(60)
@@ -205,20 +215,25 @@ def class_log_probabilities(weights: np.ndarray, features: list[np.ndarray], cla
 
 
 def sums_by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct `rows` and the sums of their `values`: differences of running sums over the sorted rows, which
-    a matrix product makes RUN at a time."""
+    """The distinct `rows` and the sums of their `values`: differences of running sums over the sorted rows. Those
+    are cut into runs of RUN, which lie side by side, so that one addition takes all runs a step further."""
+    n, width = len(rows), values.shape[1]
+    runs = -(-n // RUN)
     order = np.argsort(rows, kind="stable")
-    row = rows[order]
-    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    last = np.r_[start[1:], len(row)] - 1
-    padded = np.empty((-(-len(row) // RUN) * RUN, values.shape[1]), np.float32)
-    values.take(order, axis=0, out=padded[: len(row)], mode="clip")
-    padded[len(row) :] = 0
-    running = np.matmul(_RUNNING, padded.reshape(-1, RUN, values.shape[1]))
-    before = np.cumsum(running[:, -1], axis=0) - running[:, -1]
-    sums = running.reshape(padded.shape).take(last, axis=0) + before.take(last // RUN, axis=0)
+    row = rows.take(order)
+    last = np.flatnonzero(np.r_[row[1:] != row[:-1], True])
+    # what fills up the last run lies behind all that is read
+    dealt = np.r_[order, np.zeros(runs * RUN - n, order.dtype)].reshape(runs, RUN).T.ravel()
+    running = values.take(dealt, axis=0).reshape(RUN, runs * width)
+    for k in range(1, RUN):
+        np.add(running[k], running[k - 1], out=running[k])
+    before = np.zeros((runs, width), np.float32)
+    np.cumsum(running[-1].reshape(runs, width)[:-1], axis=0, out=before[1:])
+    run, at = np.divmod(last, RUN)
+    sums = running.reshape(RUN * runs, width).take(at * runs + run, axis=0)
+    sums += before.take(run, axis=0)
     sums[1:] -= sums[:-1].copy()
-    return row[start], sums
+    return row.take(last), sums
 
 
 def gradient_steps(weights: np.ndarray, spread: np.ndarray, features: list[np.ndarray], classes: np.ndarray) -> None:
@@ -253,22 +268,23 @@ def encode_texts(df: DataFrame, vocabulary: Vocabulary, full: bool, learn: Colum
         memo = Memo(MEMO_ENTRIES, words.entries)
         size = words.log_class_size()
         for batch in slices(batches, "_text"):
-            split, sizes, table = encode(texts_of(batch, "_text"), memo)
+            (distinct, place), sizes, table = encode(batch.column("_text"), memo)
             n = len(sizes)
             document, classes, count = np.repeat(np.arange(n), sizes), table & 0xFF, (table >> 24) - 1
             log_count = np.log10(np.maximum(count, 0) + 1.0)
             by_text = lambda x, d=document, n=n: np.bincount(d, x, n)
             score = by_text(np.where(classes < len(words.single), 0, log_count) - size[classes])
             codes, start = (table & 0xFFFFFF).astype(np.int32), np.r_[0, np.cumsum(sizes)]
-            rare, times = [], []
-            for i, w in enumerate(split):
-                found = Counter() if full else Counter(w[k] for k in np.flatnonzero(count[start[i] : start[i + 1]] < 0).tolist())
-                rare.append(list(found))
-                times.append(list(found.values()))
+            outside = np.empty(0, np.int64) if full else np.flatnonzero(count < 0)
+            pairs, times = np.unique(document[outside] * len(distinct) + place[outside], return_counts=True)
+            in_text, word = np.divmod(pairs, len(distinct))
+            bounds = pa.array(np.r_[0, np.cumsum(np.bincount(in_text, minlength=n))], pa.int32())
+            rare = pa.ListArray.from_arrays(bounds, pa.array(distinct, pa.binary()).take(pa.array(word)))
+            times = pa.ListArray.from_arrays(bounds, pa.array(times, pa.int64()))
             pieces = [codes[a:b].tobytes() for a, b in zip(start[:-1], start[1:], strict=True)]
             columns = [sizes, by_text(count > 0).astype(np.int64), by_text(log_count), score]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(pieces, pa.binary()), *map(pa.array, columns), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))], names=schema.names
+                [*batch.columns[:4], pa.array(pieces, pa.binary()), *map(pa.array, columns), rare, times], names=schema.names
             )
 
     turn = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(ROUNDS))
