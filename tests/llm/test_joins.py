@@ -233,21 +233,38 @@ def test_vector_search_edges(spark):
     assert exact_top_k(df, F.lit(False)).collect() == []
 
 
-def test_vector_search_reads_few_exact_vectors(monkeypatch):
+def test_vector_search_reads_few_exact_vectors():
     from obsframe.llm import vector_search as v
 
     rng = np.random.default_rng(1)
     rows, asked = rng.integers(-900, 900, (5000, 16)), rng.integers(-900, 900, (7, 16))
-    read = []
-    exact = v.scores
-    monkeypatch.setattr(v, "scores", lambda e, q: read.append(len(e)) or exact(e, q))
-    best = [[] for _ in asked]
-    for at in range(0, 5000, 1000):
-        v.search_block(v.CellBlock(rows[at : at + 1000]), np.arange(at, at + 1000), np.full(7, -1), asked, best, 10)
+    tiles = [(np.arange(at, at + 1000), np.arange(at, at + 1000), v.Cells.of(rows[at : at + 1000])) for at in range(0, 5000, 1000)]
+    q, row, low, high = v.candidates(tiles, np.arange(-7, 0), asked.astype(float), 10)
     truth = rows @ asked.T
-    for q in range(7):
-        assert best[q] == sorted(zip((-truth[:, q]).tolist(), range(5000), strict=True))[:10]
-    assert sum(read) < 0.1 * 7 * 5000
+    assert ((low <= truth[row, q]) & (truth[row, q] <= high)).all()
+    for k in range(7):
+        assert set(np.argsort(-truth[:, k], kind="stable")[:10]) <= set(row[q == k].tolist())
+    assert len(row) < 0.1 * 7 * 5000
+
+
+@pytest.mark.parametrize(("tile", "part", "block"), [(4096, 16, 4096), (7, 2, 3)])
+def test_vector_search_in_parts_and_blocks(spark, monkeypatch, tile, part, block):
+    from obsframe.llm import vector_search as v
+
+    monkeypatch.setattr(v, "TILE", tile)
+    monkeypatch.setattr(v, "PART", part)
+    monkeypatch.setattr(v, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-9, 9, (150, 5))
+    vectors[70:] *= 10**7  # beyond single precision
+    df = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in exact_top_k(df, F.col("vec_id") % 10 == 0, k=4, scale=1).collect()]
+    truth = vectors @ vectors.T
+    want = []
+    for q in range(0, 150, 10):
+        best = sorted((-s, k) for k, s in enumerate(truth[q].tolist()) if k != q)[:4]
+        want += [(q, n, k, -s) for n, (s, k) in enumerate(best, 1)]
+    assert sorted(got) == want
 
 
 def test_pipeline(spark, tmp_path):
