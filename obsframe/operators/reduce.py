@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce as reduce_all
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsframe.functions import EXACT, exact_mean, exact_sum
@@ -54,9 +54,42 @@ def sliding(df: DataFrame, size: str, step: str, keys: Sequence[str] = (), time:
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], at: Mapping[str, float], value: str = "value", accuracy: int | None = None) -> DataFrame:
-    """Interpolated percentiles; with `accuracy`, approximate ones whose memory a group does not grow."""
-    pick = lambda p: F.percentile(value, F.lit(p)) if accuracy is None else F.percentile_approx(value, F.lit(p), accuracy)
-    return df.groupBy(*keys).agg(*(F.round(pick(p), 6).alias(name) for name, p in at.items()))
+    """Interpolated percentiles, exact, or with `accuracy` approximate; nulls are skipped, and a group of nulls has null.
+
+    Exact ones are found by rank: distinct values are counted, then buckets of the value's logarithm (1024 each time
+    it doubles), and only values in buckets that hold a rank asked for are put in order, bucket by bucket. So a large
+    group is spread over its buckets, and no task holds all values of one."""
+    if accuracy is not None:
+        return df.groupBy(*keys).agg(*(F.round(F.percentile_approx(value, F.lit(p), accuracy), 6).alias(name) for name, p in at.items()))
+    named = [f"_k{n}" for n in range(len(keys))]
+    counts = df.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)), F.col(value).cast("double").alias("_v")).agg(F.count(value).alias("_n"))
+    counts = counts.withColumn("_place", _log_bucket(F.col("_v")))
+    of_group = Window.partitionBy(*named)
+    up_to = Window.unboundedPreceding
+    buckets = counts.groupBy(*named, "_place").agg(F.sum("_n").alias("_n"))
+    buckets = buckets.withColumn("_before", F.sum("_n").over(of_group.orderBy("_place").rowsBetween(up_to, 0)) - F.col("_n"))
+    buckets = buckets.withColumn("_total", F.sum("_n").over(of_group))
+    rank = lambda p: F.lit(float(p)) * (F.col("_total") - 1)
+    holds = lambda r: (F.col("_before") <= r) & (r < F.col("_before") + F.col("_n"))
+    asked = reduce_all(lambda x, y: x | y, (holds(r(rank(p))) for p in at.values() for r in (F.floor, F.ceil)), F.col("_total") == 0)
+    asked = buckets.where(asked).select(*(F.col(n).alias(f"{n}b") for n in named), F.col("_place").alias("_placeb"), F.col("_before").alias("_first"), "_total")
+    same = reduce_all(lambda x, y: x & y, (F.col(n).eqNullSafe(F.col(f"{n}b")) for n in named), F.col("_place") == F.col("_placeb"))
+    within = Window.partitionBy(*named, "_place").orderBy("_v").rowsBetween(up_to, 0)
+    values = counts.join(asked, same).withColumn("_before", F.col("_first") + F.sum("_n").over(within) - F.col("_n"))
+    ends = [F.max(F.when(holds(r(rank(p))), F.col("_v"))).alias(f"{name}{side}") for name, p in at.items() for side, r in (("_a", F.floor), ("_b", F.ceil))]
+    found = values.groupBy(*named).agg(F.max("_total").alias("_total"), *ends)
+
+    def between(name: str, p: float) -> Column:
+        a, b, r = F.col(f"{name}_a"), F.col(f"{name}_b"), rank(p)
+        return F.when(a == b, a).otherwise((F.ceil(r) - r) * a + (r - F.floor(r)) * b)
+
+    return found.select(*(F.col(n).alias(k) for k, n in zip(keys, named, strict=True)), *(F.round(between(name, p), 6).alias(name) for name, p in at.items()))
+
+
+def _log_bucket(v: Column) -> Column:
+    """A number that doesn't fall as the value rises, 1024 for each doubling; NaN counts as the highest value."""
+    size = F.floor(F.greatest(F.least(F.log2(F.abs(v)), F.lit(1100.0)), F.lit(-1100.0)) * 1024) + F.lit(1100 * 1024 + 1)
+    return F.when(F.isnan(v), F.lit(1 << 23)).when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("long")
 
 
 def histogram(df: DataFrame, keys: Sequence[str], width: float, value: str = "value") -> DataFrame:

@@ -1,4 +1,9 @@
-"""Series of a site over time: grids, gaps, moving sums and matches between bands."""
+"""Series of a site over time: grids, gaps, moving sums and matches between bands.
+
+What works on single observations cuts a site's rows by time, so that a busy site
+is many tasks' work. What works on a grid has one row a site and day, which
+`daily` sums up before the shuffle: however busy, a site has as many as there are days.
+"""
 
 from __future__ import annotations
 
@@ -44,20 +49,34 @@ def missing(grid: DataFrame, series: DataFrame, site: str) -> DataFrame:
 
 
 def moving(df: DataFrame, keys: Sequence[str], days: int, time: str = "ts", value: str = "value") -> DataFrame:
-    """Sum and count of the values in the `days` days up to and with each row."""
+    """Sum and count of the values in the `days` days up to and with each row. A series is cut into slices of
+    four times that; the last rows of a slice go along with the next one, whose windows reach back to them."""
+    length = days * 86_400_000_000
     micros = F.unix_micros(F.col(time).cast("timestamp"))
-    span = Window.partitionBy(*keys).orderBy(micros).rangeBetween(-days * 86_400_000_000, 0)
-    return df.withColumn("moving_sum", F.sum(F.col(value).cast("decimal(18,6)")).over(span).cast("double")).withColumn("moving_n", F.count(value).over(span))
+    own = F.floor(micros / (4 * length))
+    reached = (own + 1) * (4 * length) - micros <= length
+    dealt = df.withColumn("_own", own).withColumn("_slice", F.explode(F.when(reached, F.array(own, own + 1)).otherwise(F.array(own))))
+    span = Window.partitionBy(*keys, "_slice").orderBy(micros).rangeBetween(-length, 0)
+    sums = dealt.withColumn("moving_sum", F.sum(F.col(value).cast("decimal(18,6)")).over(span).cast("double")).withColumn("moving_n", F.count(value).over(span))
+    return sums.where(F.col("_own").eqNullSafe(F.col("_slice"))).drop("_own", "_slice")
 
 
 def match_asof(left: DataFrame, right: DataFrame, site: str, time: str = "ts", key: str = "event_id", value: str = "value") -> DataFrame:
-    """For each left row the last right row of its site at or before it: one pass over both, sorted
-    together, instead of a join of ranges. Of equal times the right row with the larger id counts."""
-    side = lambda df, n: df.select(site, time, key, value, F.lit(n).alias("_right"))
+    """For each left row the last right row of its site at or before it. Of equal times the right row with the
+    larger id counts. Both are sorted together day by day instead of joined by ranges; what a day finds in none
+    of its own rows is the last right row of the days before, of which there is one a site and day."""
+    side = lambda df, n: df.select(site, time, key, value, F.col(time).cast("date").alias("_day"), F.lit(n).alias("_right"))
     both = side(left, 0).unionByName(side(right, 1))
-    order = Window.partitionBy(site).orderBy(time, F.desc("_right"), key).rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last(F.when(F.col("_right") == 1, F.struct(F.col(key).alias("k"), F.col(value).alias("v"))), ignorenulls=True).over(order)
-    return both.withColumn("_m", found).where("_right = 0").select(site, time, key, value, F.col("_m.k").alias("match_id"), F.col("_m.v").alias("match_value"))
+    seen = F.when(F.col("_right") == 1, F.struct(F.col(key).alias("k"), F.col(value).alias("v")))
+    order = Window.partitionBy(site, "_day").orderBy(time, F.desc("_right"), key).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_m", F.last(seen, ignorenulls=True).over(order)).where("_right = 0")
+    latest = F.max(F.when(F.col("_right") == 1, F.struct(F.col(time).alias("t"), F.col(key).alias("k"), F.col(value).alias("v"))))
+    before = Window.partitionBy("_s").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    daily_last = both.groupBy(F.col(site).alias("_s"), F.col("_day").alias("_d")).agg(latest.alias("_last"))
+    carried = daily_last.select("_s", "_d", F.last("_last", ignorenulls=True).over(before).alias("_c"))
+    found = found.join(carried, F.col(site).eqNullSafe(F.col("_s")) & F.col("_day").eqNullSafe(F.col("_d")), "left")
+    pick = lambda c: F.when(F.col("_m").isNotNull(), F.col(f"_m.{c}")).otherwise(F.col(f"_c.{c}"))
+    return found.select(site, time, key, value, pick("k").alias("match_id"), pick("v").alias("match_value"))
 
 
 def match_within(left: DataFrame, right: DataFrame, site: str, seconds: int, time: str = "ts", key: str = "event_id") -> DataFrame:

@@ -12,19 +12,26 @@ def filter_bounds(df: DataFrame, box: tuple[float, float, float, float]) -> Data
     return df.where(F.col("x").between(x1, x2) & F.col("y").between(y1, y2))
 
 
-def within(df: DataFrame, edges: DataFrame, key: str, strip: float = 0.05) -> DataFrame:
+def within(df: DataFrame, edges: DataFrame, key: str, cell: float | None = None) -> DataFrame:
     """(key, zone) for each polygon that holds a point, by the even-odd rule on `edges` (zone, x1, y1, x2, y2).
 
-    A ray to the right crosses only edges of the point's height. Edges are
-    listed under each horizontal strip they reach, so points and edges join on
-    strips, not each with each, and polygons may be many. A point on a left or lower edge is inside.
+    Points meet the polygons whose box reaches their grid cell, then those polygons' edges of their row of cells:
+    a ray to the right crosses no others. So neither points nor edges meet each with each, and polygons may be
+    many. `cell` is the cells' side; left out, an eighth of the mean side of the boxes. A point on a left or lower
+    edge is inside.
     """
-    strip_of = lambda y: F.floor(y / strip)
-    listed = edges.where("y1 <> y2").withColumn("_strip", F.explode(F.sequence(strip_of(F.least("y1", "y2")), strip_of(F.greatest("y1", "y2")))))
-    points = df.withColumn("_strip", strip_of(F.col("y")))
+    ends = lambda pick, a, b: (F.min if pick is F.least else F.max)(pick(a, b))
+    boxes = edges.groupBy("zone").agg(*(ends(pick, f"{c}1", f"{c}2").alias(f"_{c}{n}") for c in "xy" for n, pick in enumerate((F.least, F.greatest))))
+    if cell is None:
+        cell = (boxes.agg(F.avg(F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")))).first()[0] or 8.0) / 8
+    place = lambda c: F.floor(c / cell)
+    covered = boxes.select("zone", "_y0", "_y1", F.explode(F.sequence(place(F.col("_x0")), place(F.col("_x1")))).alias("_cx"))
+    covered = covered.select("zone", "_cx", F.explode(F.sequence(place(F.col("_y0")), place(F.col("_y1")))).alias("_cy"))
+    listed = edges.where("y1 <> y2").withColumn("_cy", F.explode(F.sequence(place(F.least("y1", "y2")), place(F.greatest("y1", "y2")))))
+    near = df.withColumn("_cx", place(F.col("x"))).withColumn("_cy", place(F.col("y"))).join(covered, ["_cx", "_cy"])
     reaches = (F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))
     crosses = F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    hits = points.join(listed, "_strip").where(reaches & crosses)
+    hits = near.join(listed, ["zone", "_cy"]).where(reaches & crosses)
     return hits.groupBy(key, "zone").agg(F.count("*").alias("_n")).where("_n % 2 = 1").select(key, "zone")
 
 

@@ -142,3 +142,28 @@ def test_anomaly_keeps_rows_with_null_keys(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 3.0), (3, None, 5.0), (4, None, 7.0)], "event_id long, event_type string, value double")
     got = {r.event_id: r.anomaly for r in reduce.anomaly(df, ["event_type"]).collect()}
     assert got == {1: -1.0, 2: 1.0, 3: -1.0, 4: 1.0}
+
+
+def test_percentiles_agree_with_the_builtin(spark):
+    values = [None, 0.0, -0.5, 1e-300, 7.25, 7.25, 3e8, -4.0, float("inf"), 2.0, 2.0000001]
+    rows = [(k if k < 3 else None, v) for k in range(4) for v in values[: 3 * k + 1]]
+    df = spark.createDataFrame(rows, "g int, value double")
+    at = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.77, "e": 1.0}
+    builtin = df.groupBy("g").agg(*(F.round(F.percentile("value", F.lit(p)), 6).alias(n) for n, p in at.items()))
+    key = lambda r: (r.g is None, r.g)
+    assert sorted(reduce.percentiles(df, ["g"], at).collect(), key=key) == sorted(builtin.collect(), key=key)
+    assert reduce.percentiles(df.limit(0), ["g"], at).collect() == []
+
+
+def test_series_cut_by_time_agree_with_whole_ones(spark):
+    rows = [(n, n % 3 if n % 7 else None, n * 7919 % 90 * 8, float(n)) for n in range(300)]
+    df = spark.createDataFrame(rows, "event_id long, user_id int, hour int, value double")
+    df = df.withColumn("ts", F.expr("timestampadd(HOUR, hour, timestamp_ntz'2024-01-01')"))
+    got = {r.event_id: (r.moving_sum, r.moving_n) for r in series.moving(df, ["user_id"], 2).collect()}
+    matched = {r.event_id: r.match_id for r in series.match_asof(df.where("event_id % 2 = 0"), df.where("event_id % 2 = 1"), "user_id").collect()}
+    for n, site, hour, _ in rows:
+        near = [v for _, s, h, v in rows if s == site and hour - 48 <= h <= hour]
+        assert got[n] == (sum(near), len(near))
+        if n % 2 == 0:
+            before = [(h, k) for k, s, h, _ in rows if k % 2 and s == site and h <= hour]
+            assert matched[n] == (max(before)[1] if before else None)
