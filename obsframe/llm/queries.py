@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsframe.llm import language_id, language_model, line_dedup, quality, substring_dedup
+from obsframe.llm import language_id, language_model, line_dedup, merkle, quality, substring_dedup
 from obsframe.llm.common import documents, fold
 from obsframe.llm.decontamination import find_overlaps
 from obsframe.llm.packing import pack
@@ -71,6 +71,14 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    leaf = lambda n_chars: merkle.digest(*map(F.col, ("doc_id", "source", "lang")), n_chars, F.col("text"))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = F.when(tampered, leaf(F.try_add("n_chars", F.lit(1))))
+    return merkle.verify(merkle.build_manifest(docs, leaf(F.col("n_chars")), changed))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
@@ -82,6 +90,7 @@ QUERIES = {
     "op8_language_model": op8_language_model,
     "op9_line_dedup": op9_line_dedup,
     "op10_top_k": op10_top_k,
+    "op11_merkle": op11_merkle,
 }
 
 SQL = {
@@ -98,4 +107,5 @@ SQL = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
         ) WHERE rank <= 10
     """,
+    "op11_merkle": merkle.SQL,
 }
