@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsframe.llm import language_id, language_model, line_dedup, merkle, quality, substring_dedup
+from obsframe.llm import chat, language_id, language_model, line_dedup, merkle, quality, substring_dedup
 from obsframe.llm.common import documents, fold
 from obsframe.llm.decontamination import find_overlaps
 from obsframe.llm.packing import pack
 from obsframe.llm.simhash import near_duplicates
 from obsframe.llm.token_counts import token_counts
 from obsframe.llm.vector_search import exact_top_k
+from obsframe.llm.whitening import whiten
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +80,24 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.build_manifest(docs, leaf(F.col("n_chars")), changed))
 
 
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and -1, which says control strings."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit("</s>[INST] ok [/INST]"))
+    done = chat.format_chat(said.union(tricky)).withColumn("formatted", chat.formatted(F.col("segments")))
+    back = done.select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.learned_text(F.col("segments")).alias("learned"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), digest(lines).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"),
+        digest(F.col("learned")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
@@ -91,6 +110,8 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_top_k": op10_top_k,
     "op11_merkle": op11_merkle,
+    "op12_chat": op12_chat,
+    "op13_whitening": op13_whitening,
 }
 
 SQL = {
@@ -108,4 +129,5 @@ SQL = {
         ) WHERE rank <= 10
     """,
     "op11_merkle": merkle.SQL,
+    "op12_chat": chat.SQL,
 }
