@@ -16,15 +16,18 @@ from obsframe.functions import EXACT, exact_mean, exact_sum
 
 
 def reduce(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Count, mean, median, min, max and sample standard deviation of the values that aren't null."""
-    return df.groupBy(*keys).agg(
+    """Count, mean, median, min, max and sample standard deviation of the values that aren't null. The median is found by
+    rank, see `percentiles`: no task holds all values of a group. Rows whose keys are null are groups too."""
+    sums = df.groupBy(*keys).agg(
         F.count(value).alias("n"),
         exact_mean(value).alias("mean"),
-        F.round(F.percentile(value, F.lit(0.5)), 6).alias("median"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
         F.round(F.stddev_samp(value), 6).alias("sd"),
     )
+    middle = percentiles(df, keys, {"_median": 0.5}, value).withColumnsRenamed({k: f"_{n}" for n, k in enumerate(keys)})
+    same = reduce_all(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{n}")) for n, k in enumerate(keys)), F.lit(True))
+    return sums.join(middle, same).select(*keys, "n", "mean", F.col("_median").alias("median"), "min", "max", "sd")
 
 
 def value_range(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -53,29 +56,42 @@ def sliding(df: DataFrame, size: str, step: str, keys: Sequence[str] = (), time:
     return sums.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n", "total")
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], at: Mapping[str, float], value: str = "value", accuracy: int | None = None) -> DataFrame:
-    """Interpolated percentiles, exact, or with `accuracy` approximate; nulls are skipped, and a group of nulls has null.
+#: Ranks are looked for within this share of the rows around the sketched place (the sketch errs by half of it).
+_MARGIN = 0.001
 
-    Exact ones are found by rank: distinct values are counted, then buckets of the value's logarithm (1024 each time
-    it doubles), and only values in buckets that hold a rank asked for are put in order, bucket by bucket. So a large
-    group is spread over its buckets, and no task holds all values of one."""
+
+def percentiles(df: DataFrame, keys: Sequence[str], at: Mapping[str, float], value: str = "value", accuracy: int | None = None, digits: int | None = 6) -> DataFrame:
+    """Interpolated percentiles, exact, or with `accuracy` approximate; nulls are skipped, and a group of nulls has null. NaN
+    is the highest value. Results are rounded to `digits` (None: not).
+
+    Exact ones are found by rank. A quantile sketch of each group gives bounds a little below and above each place
+    asked for; rows are counted between the bounds, and only those that lie in intervals which hold a rank are shuffled
+    and put in order, interval by interval. So of a large group a small share moves, whatever its values are like.
+    The sketch decides how much is put in order, not what comes out."""
+    shown = lambda c, name: (c if digits is None else F.round(c, digits)).alias(name)
     if accuracy is not None:
-        return df.groupBy(*keys).agg(*(F.round(F.percentile_approx(value, F.lit(p), accuracy), 6).alias(name) for name, p in at.items()))
+        return df.groupBy(*keys).agg(*(shown(F.percentile_approx(value, F.lit(p), accuracy), name) for name, p in at.items()))
     named = [f"_k{n}" for n in range(len(keys))]
-    counts = df.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)), F.col(value).cast("double").alias("_v")).agg(F.count(value).alias("_n"))
-    counts = counts.withColumn("_place", _log_bucket(F.col("_v")))
+    rows = df.select(*(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)), F.col(value).cast("double").alias("_v"))
+    around = sorted({min(max(p + side * _MARGIN, 0.0), 1.0) for p in at.values() for side in (-1, 1)})
+    sketch = rows.groupBy(*named).agg(F.count("_v").alias("_total"), F.percentile_approx("_v", F.array(*map(F.lit, around)), int(2 / _MARGIN)).alias("_bounds"))
+    mine = sketch.select(*(F.col(n).alias(f"{n}s") for n in named), "_total", "_bounds")
+    equal = lambda suffix: reduce_all(lambda x, y: x & y, (F.col(n).eqNullSafe(F.col(n + suffix)) for n in named), F.lit(True))
+    # a bound that stands below a place counts from itself on, one above it behind itself, so that both are in between
+    passed = [F.when((F.col("_v") > F.get("_bounds", F.lit(k))) | ((F.col("_v") == F.get("_bounds", F.lit(k))) & F.lit(k % 2 == 0)), 1).otherwise(0) for k in range(len(around))]
+    placed = rows.where("_v is not null").join(mine, equal("s")).select(*named, "_v", reduce_all(lambda x, y: x + y, passed).alias("_place"))
     of_group = Window.partitionBy(*named)
     up_to = Window.unboundedPreceding
-    buckets = counts.groupBy(*named, "_place").agg(F.sum("_n").alias("_n"))
-    buckets = buckets.withColumn("_before", F.sum("_n").over(of_group.orderBy("_place").rowsBetween(up_to, 0)) - F.col("_n"))
-    buckets = buckets.withColumn("_total", F.sum("_n").over(of_group))
+    parts = placed.groupBy(*named, "_place").agg(F.count("*").alias("_n"))
+    parts = parts.withColumn("_before", F.sum("_n").over(of_group.orderBy("_place").rowsBetween(up_to, 0)) - F.col("_n"))
+    parts = parts.withColumn("_total", F.sum("_n").over(of_group))
     rank = lambda p: F.lit(float(p)) * (F.col("_total") - 1)
     holds = lambda r: (F.col("_before") <= r) & (r < F.col("_before") + F.col("_n"))
-    asked = reduce_all(lambda x, y: x | y, (holds(r(rank(p))) for p in at.values() for r in (F.floor, F.ceil)), F.col("_total") == 0)
-    asked = buckets.where(asked).select(*(F.col(n).alias(f"{n}b") for n in named), F.col("_place").alias("_placeb"), F.col("_before").alias("_first"), "_total")
-    same = reduce_all(lambda x, y: x & y, (F.col(n).eqNullSafe(F.col(f"{n}b")) for n in named), F.col("_place") == F.col("_placeb"))
-    within = Window.partitionBy(*named, "_place").orderBy("_v").rowsBetween(up_to, 0)
-    values = counts.join(asked, same).withColumn("_before", F.col("_first") + F.sum("_n").over(within) - F.col("_n"))
+    asked = parts.where(reduce_all(lambda x, y: x | y, (holds(r(rank(p))) for p in at.values() for r in (F.floor, F.ceil))))
+    asked = asked.select(*(F.col(n).alias(f"{n}b") for n in named), F.col("_place").alias("_placeb"), F.col("_before").alias("_first"), "_total")
+    counts = placed.join(asked, equal("b") & (F.col("_place") == F.col("_placeb"))).groupBy(*named, "_place", "_first", "_total", "_v").agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(*named, "_place").orderBy("_v").rowsBetween(up_to, 0)
+    values = counts.withColumn("_before", F.col("_first") + F.sum("_n").over(order) - F.col("_n"))
     ends = [F.max(F.when(holds(r(rank(p))), F.col("_v"))).alias(f"{name}{side}") for name, p in at.items() for side, r in (("_a", F.floor), ("_b", F.ceil))]
     found = values.groupBy(*named).agg(F.max("_total").alias("_total"), *ends)
 
@@ -83,13 +99,8 @@ def percentiles(df: DataFrame, keys: Sequence[str], at: Mapping[str, float], val
         a, b, r = F.col(f"{name}_a"), F.col(f"{name}_b"), rank(p)
         return F.when(a == b, a).otherwise((F.ceil(r) - r) * a + (r - F.floor(r)) * b)
 
-    return found.select(*(F.col(n).alias(k) for k, n in zip(keys, named, strict=True)), *(F.round(between(name, p), 6).alias(name) for name, p in at.items()))
-
-
-def _log_bucket(v: Column) -> Column:
-    """A number that doesn't fall as the value rises, 1024 for each doubling; NaN counts as the highest value."""
-    size = F.floor(F.greatest(F.least(F.log2(F.abs(v)), F.lit(1100.0)), F.lit(-1100.0)) * 1024) + F.lit(1100 * 1024 + 1)
-    return F.when(F.isnan(v), F.lit(1 << 23)).when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("long")
+    got = found.select(*(F.col(n).alias(f"{n}g") for n in named), *(shown(between(name, p), name) for name, p in at.items()))
+    return sketch.select(*named).join(got, equal("g"), "left").select(*(F.col(n).alias(k) for k, n in zip(keys, named, strict=True)), *at)
 
 
 def histogram(df: DataFrame, keys: Sequence[str], width: float, value: str = "value") -> DataFrame:

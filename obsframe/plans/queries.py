@@ -12,12 +12,14 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from obsframe import streaming
-from obsframe.functions import meta, point
+from obsframe.functions import exact_sum, meta, point
 from obsframe.operators import composite, reduce, select, series, space
 from obsframe.plans.requests import expand_requests
-from obsframe.sources import store
+from obsframe.sources import paged, store
+from obsframe.streaming.alarms import gap_alarms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -258,6 +260,45 @@ def c28_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.sliding(events(spark, sf_dir), "7 days", "1 day", ["event_type"])
 
 
+def _paged(spark: SparkSession, rows: DataFrame, column: str, name: str) -> str:
+    """A format that pulls `rows` page by page from a folder that stands for a remote service, by the values of `column`, ascending."""
+    folder = streaming.shared_folder(spark, name)
+    # as the service has them: pages of some thousand rows
+    rows.write.option("parquet.block.size", 1 << 16).partitionBy(column).parquet(folder)
+    keys = sorted(r[0] for r in rows.select(column).distinct().collect())
+    kept = T.StructType([*(f for f in rows.schema if f.name != column), rows.schema[column]])
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    paged.register_pages(spark, name, paged.Service(ddl, keys, paged.FolderPages(folder, column, kept), column))
+    return name
+
+
+def _by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", "user_id", "value", F.col("ts").cast("date").cast("string").alias("day"))
+
+
+@query("SELECT event_id, user_id, value, ts::DATE::VARCHAR AS day FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-21'")
+def k01_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pulled = spark.read.format(_paged(spark, _by_day(spark, sf_dir), "day", "pull_days")).load()
+    return pulled.where((F.col("day") >= "2024-01-10") & (F.col("day") < "2024-01-21"))
+
+
+@query("""WITH d AS (SELECT ts::DATE::VARCHAR AS day, count(*)::BIGINT AS n, sum(value::DECIMAL(18,6))::DOUBLE AS total FROM events GROUP BY ALL)
+    SELECT day, n, total, CASE WHEN k > 14 THEN n END AS n_again, CASE WHEN k > 14 THEN total END AS total_again
+    FROM (SELECT *, row_number() OVER (ORDER BY day) AS k FROM d)""")
+def k01_pull_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All days as a stream of a week a batch, and once more from the offset behind two weeks."""
+    name = _paged(spark, _by_day(spark, sf_dir), "day", "stream_days")
+    folder = streaming.shared_folder(spark, "pulled")
+    daily = []
+    for start in (0, 14):
+        stream = spark.readStream.format(name).option("perBatch", 7).option("start", start).load()
+        streaming.store_new(stream, f"{folder}/{start}", f"{folder}/state-{start}", steps=True)
+        daily.append(spark.read.parquet(f"{folder}/{start}").groupBy("day").agg(F.count("*").alias("n"), exact_sum("value").alias("total")))
+    again = daily[1].withColumnsRenamed({"n": "n_again", "total": "total_again"})
+    return daily[0].join(again, "day", "left")
+
+
 @query("SELECT event_id, ts, value * 2 AS value, ts::DATE::VARCHAR AS day FROM events WHERE ts::DATE = DATE '2024-01-10' UNION ALL SELECT event_id, ts, value, ts::DATE::VARCHAR AS day FROM events WHERE ts::DATE <> DATE '2024-01-10'")
 def k02_replace_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = streaming.shared_folder(spark, "days")
@@ -290,6 +331,41 @@ def s01_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+#: Of ten rows one arrives one, five or nine days late; all others arrive on their day.
+_ARRIVAL = "date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) + CASE WHEN event_id % 10 = 3 THEN 1 + event_id % 3 * 4 ELSE 0 END"
+
+
+@query(f"""WITH a AS (SELECT event_type, ts, date_trunc('day', ts)::TIMESTAMP AS window_start, (dense_rank() OVER (ORDER BY {_ARRIVAL}) - 1) // 3 AS batch FROM events),
+    m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch) - INTERVAL 6 HOURS AS mark FROM a GROUP BY batch)
+    SELECT window_start, event_type, (count(*) FILTER (mark IS NULL OR window_start + INTERVAL 1 DAY > mark))::BIGINT AS n,
+        (count(*) FILTER (window_start + INTERVAL 1 DAY <= mark))::BIGINT AS late
+    FROM a LEFT JOIN m ON m.batch = a.batch - 2 WHERE window_start + INTERVAL 1 DAY <= (SELECT max(mark) FROM m) GROUP BY ALL""")
+def s02_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts over rows replayed in the order of their arrival, three days a batch, and how many rows came too late for
+    them: those whose day the watermark, which a batch hands to the next but one, had passed."""
+    seen = events(spark, sf_dir)
+    first = seen.agg(F.min(F.col("ts").cast("date"))).scalar()
+    late = F.when(F.col("event_id") % 10 == 3, 1 + F.col("event_id") % 3 * 4).otherwise(0)
+    arrived = seen.select("ts", "event_type", (F.datediff("ts", first) + late).cast("int").alias("arrival"))
+    stream = spark.readStream.format(_paged(spark, arrived, "arrival", "replay")).option("perBatch", 3).load()
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    kept = streaming.drain(streaming.tumbling_counts(stream, "1 day", "6 hours", ["event_type"]), "late", steps=True)
+    closed = F.col("window_start") + F.expr("INTERVAL 1 DAY") <= seen.agg(F.max("ts")).scalar() - F.expr("INTERVAL 6 HOURS")
+    whole = seen.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("window_start"), "event_type").agg(F.count("*").alias("all")).where(closed)
+    kept = kept.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    counted = whole.join(kept, ["window_start", "event_type"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return counted.select("window_start", "event_type", "n", (F.col("all") - F.col("n")).alias("late"))
+
+
+@query(f"""WITH {_GRID} SELECT user_id, day::VARCHAR AS day FROM grid ANTI JOIN (SELECT DISTINCT user_id, ts::DATE AS day FROM events) USING (user_id, day)
+    WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def s09_gap_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = events(spark, sf_dir).select("user_id").distinct().withColumn("day", F.lit(FIRST).cast("date"))
+    stream = streaming.read_stream(spark, f"{sf_dir}/events.parquet")
+    with streaming.state_in_rocksdb(spark):
+        return day_text(streaming.drain(gap_alarms(stream, "user_id", "1 hour", known), "gaps"))
+
+
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
     SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOURS AS session_end, count(*)::BIGINT AS n FROM s GROUP BY user_id, k

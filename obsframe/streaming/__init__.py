@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -34,15 +37,40 @@ def read_stream(spark: SparkSession, path: str, time: str = "ts") -> DataFrame:
     return df.withColumn(time, F.col(time).cast("timestamp"))
 
 
-def drain(df: DataFrame, name: str) -> DataFrame:
+def run_through(sink: DataStreamWriter, steps: bool = False) -> None:
+    """Run a stream over all that is there now. `steps`: for sources that say themselves how much a batch takes, which
+    a single look at what is available would pass over."""
+    if not steps:
+        sink.trigger(availableNow=True).start().awaitTermination()
+        return
+    running = sink.start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+
+
+def drain(df: DataFrame, name: str, steps: bool = False) -> DataFrame:
     """Run a stream in append mode over all that is there now, into a Parquet table; returns the table."""
     spark = df.sparkSession
     folder = shared_folder(spark, name)
-    sink = df.writeStream.outputMode("append").format("parquet").trigger(availableNow=True)
-    sink.option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").start().awaitTermination()
+    sink = df.writeStream.outputMode("append").format("parquet")
+    run_through(sink.option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows"), steps)
     return spark.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, as timers need it."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def tumbling_counts(df: DataFrame, size: str, delay: str, keys: list[str], time: str = "ts") -> DataFrame:
     """Rows per window and key; rows later than `delay` may be dropped."""
     counts = df.withWatermark(time, delay).groupBy(F.window(time, size).alias("w"), *keys).agg(F.count("*").alias("n"))
@@ -68,14 +96,14 @@ def match_within(left: DataFrame, right: DataFrame, site: str, tolerance: str, t
     return a.join(b, F.expr(near)).select(site, "left_id", "right_id")
 
 
-def store_new(df: DataFrame, path: str, state: str) -> None:
+def store_new(df: DataFrame, path: str, state: str, steps: bool = False) -> None:
     """Append what the stream has not stored yet. Each batch writes a folder of its own, so a batch that
     is run again replaces its own rows only."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    df.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    run_through(df.writeStream.foreachBatch(write).option("checkpointLocation", state), steps)
 
 
 def running_counts(df: DataFrame, key: str) -> DataFrame:
