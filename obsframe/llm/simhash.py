@@ -8,15 +8,16 @@ parent) and follows only edges within the radius. Trees of the whole corpus
 grow with it, so they are dealt out by key instead of broadcast.
 
 `similar_texts` links by exact Jaccard similarity of the shingle sets instead:
-shards are named by each set's least shingle hashes, fingerprints of twice the
-bits are searched in BK-trees there at a radius that similar sets are far
-within, and what is found is compared whole.
+shards are named by each set's least shingle hashes, and fingerprints of twice
+the bits are searched in BK-trees there at a radius that similar sets are far
+within. Sets that have a neighbour travel to their shards whole, and only a
+pair that was compared whole and found similar joins two components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 from math import ceil
 
 import numpy as np
@@ -30,11 +31,9 @@ from obsframe.llm.components import components
 
 BITS = 64
 #: Of 128 bits, how many may differ in a pair that is compared whole. At a similarity of 0.8 about 19 (deviation 4) do, in unlike texts 64 (6).
-SIEVE = 30
+SIEVE = 38
 #: Least shingle hashes of a set that name its shards: one set in 0.2**5 of a similarity of 0.8 shares none of them.
 KEYS = 5
-#: Fingerprints of a shard that are put into one tree when components are first sought; later the whole shard is.
-TREE = 1000
 #: Sets of fewer shingles are compared whatever their bits.
 SIEVE_LEAST = 16
 
@@ -174,158 +173,155 @@ def near_duplicates(df: DataFrame, words: int = 4, radius: int = 4, id_col: str
     return prints.join(named, "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
-def _sketch(text: str, words: int, similarity: float) -> tuple[int, int, int, int, list[int]]:
-    """Of the set of shingles: its name (0 if empty), size, 128 bits as two longs, and its least hashes, KEYS at
+def _hashes(text: str, words: int) -> np.ndarray:
+    """The sorted XXH64 of the set of shingles."""
+    from xxhash import xxh64_intdigest
+
+    return np.unique(np.array([xxh64_intdigest(p, 42) for p in set(shingles(text, words))], np.uint64))
+
+
+def _sketch(h: np.ndarray, similarity: float, keys: int | None) -> tuple[int, int, int, int, list[int]]:
+    """Of a set of shingle hashes: its name (0 if empty), size, 128 bits as two longs, and its least hashes, `keys` at
     most; any set that is as similar shares one of the first 1 - `similarity`, and likely one of so few."""
     from xxhash import xxh64_intdigest
 
-    h = np.unique(np.array([xxh64_intdigest(p, 42) for p in set(shingles(text, words))], np.uint64))
     if not len(h):
         return 0, 0, 0, 0, []
     halves = []
     for k in (h, (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)):
         ones = sum(np.unpackbits(k[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) for at in range(0, len(k), 1 << 16))
         halves.append(int(np.packbits(2 * ones > len(k)).view(np.int64)[0]))
-    signed = h.view(np.int64)
     name = np.array([xxh64_intdigest(h.tobytes()) | 1], np.uint64).view(np.int64)
-    return int(name[0]), len(h), *halves, signed[: min(KEYS, len(h) - ceil(similarity * len(h) - 1e-9) + 1)].tolist()
+    needed = len(h) - ceil(similarity * len(h) - 1e-9) + 1
+    return int(name[0]), len(h), *halves, h.view(np.int64)[: needed if keys is None else min(keys, needed)].tolist()
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of sorted batches, cut where the first column changes."""
-    rest = None
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of sorted batches by equal first column, a group at a time."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        columns = [c.to_numpy() for c in batch.columns]
-        columns = columns if rest is None else [np.r_[r, c] for r, c in zip(rest, columns, strict=True)]
-        key = columns[0]
-        last = int(np.flatnonzero(np.r_[True, key[1:] != key[:-1]])[-1]) if len(key) else 0
-        if last:
-            yield [c[:last] for c in columns]
-        rest = [c[last:] for c in columns]
-    if rest is not None and len(rest[0]):
-        yield rest
-
-
-def _small_pairs(columns: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Pairs of names of the same key, of small sets of sizes that may be similar enough, in different
-    components. Rows are sorted by key and size."""
-    small = columns[1] * similarity < SIEVE_LEAST
-    key, size, name, _, _, component = (c[small] for c in columns)
-    found, at, d = [np.empty((0, 2), np.int64)], np.arange(len(key)), 1
-    while len(at):
-        at = at[at + d < len(key)]
-        at = at[(key[at] == key[at + d]) & (size[at] >= similarity * size[at + d] - 1e-9)]
-        near = at[component[at] != component[at + d]]
-        found.append(np.stack([name[near], name[near + d]], 1))
-        d += 1
-    return np.concatenate(found)
-
-
-def _tree_pairs(columns: list[np.ndarray], first: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of names in different components of a shard whose fingerprints a BK-tree finds near: for each of them
-    the nearest, as far as no nearer ones join the two already, so fewer than the shard has names. At first trees hold TREE at most."""
-    key, size, name, one, two, component = (c[columns[1] >= SIEVE_LEAST] for c in columns)
-    if not len(key):
-        return
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    for a, b in zip(start, [*start[1:], len(key)], strict=True):
-        step = TREE if first else b - a
-        for k in range(a, b, step):
-            e = min(b, k + step)
-            if (component[k:e] != component[k]).any():
-                prints = [x << 64 | y for x, y in zip(one[k:e].view(np.uint64).tolist(), two[k:e].view(np.uint64).tolist(), strict=True)]
-                yield from _nearest_links(prints, name[k:e].tolist(), component[k:e].tolist())
-
-
-def _nearest_links(prints: list[int], names: list[int], parts: list[int]) -> Iterator[tuple[int, int]]:
-    tree, holders, parent = BKTree(SIEVE), {}, {p: p for p in parts}
-
-    def root(p: int) -> int:
-        while parent[p] != p:
-            parent[p] = p = parent[parent[p]]
-        return p
-
-    for v, n, part in zip(prints, names, parts, strict=True):
-        near = tree.near(v) if v in holders else tree.near_then_add(v)
-        for other in sorted(near, key=lambda u: (u ^ v).bit_count()):
-            for m, held in holders[other]:
-                if (x := root(part)) != (y := root(held)):
+        key = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for a, b in pairwise(edges):
+            if b > a:
+                if held and held[0].column(0)[0].as_py() != key[a]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class Neighbours:
+    """The sets of a shard, of which each asks those before it that may be similar: any of a fitting size if small, or else
+    those that a BK-tree finds within `sieve` bits (None: any). Sets come by rising size."""
+
+    def __init__(self, sizes: list[int], one: np.ndarray, two: np.ndarray, similarity: float, sieve: int | None):
+        self.sizes, self.similarity, self.sieve = sizes, similarity, sieve
+        self.prints = [x << 64 | y for x, y in zip(one.view(np.uint64).tolist(), two.view(np.uint64).tolist(), strict=True)]
+        self.tree, self.holders = BKTree(sieve or 0), {}
+
+    def of(self, at: int) -> list[int]:
+        """The places of those that `at` asks, the likeliest first; it is then among the others."""
+        size, v = self.sizes[at], self.prints[at]
+        least = self.similarity * size - 1e-9
+        if self.sieve is None or self.similarity * size < SIEVE_LEAST:
+            first = at
+            while first and self.sizes[first - 1] >= least:
+                first -= 1
+            found = list(range(first, at))
+        else:
+            near = self.tree.near(v)
+            found = [m for u in near for m in self.holders[u] if self.sizes[m] >= least]
+        if self.sieve is not None:
+            if v not in self.holders:
+                self.tree.near_then_add(v)
+            self.holders.setdefault(v, []).append(at)
+        return sorted(found, key=lambda m: (self.prints[m] ^ v).bit_count())
+
+
+def _with_neighbours(shard: pa.Table, similarity: float, sieve: int | None) -> np.ndarray:
+    """Which sets (key, size, name, one, two) of a shard have another there that may be similar."""
+    asked = np.zeros(shard.num_rows, bool)
+    if len(asked) > 1:
+        near = Neighbours(shard.column(1).to_pylist(), shard.column(3).to_numpy(), shard.column(4).to_numpy(), similarity, sieve)
+        for at in range(len(asked)):
+            found = near.of(at)
+            asked[found] = True
+            asked[at] |= bool(found)
+    return asked
+
+
+def similar_links(shard: pa.Table, similarity: float, sieve: int | None) -> Iterator[tuple[int, int]]:
+    """Links of names that join what all similar pairs of a shard's sets (key, size, name, one, two, set) join, as far as they
+    are neighbours; fewer than the shard has sets. Sets are compared whole before they are joined."""
+    names = shard.column(2).to_pylist()
+    near = Neighbours(shard.column(1).to_pylist(), shard.column(3).to_numpy(), shard.column(4).to_numpy(), similarity, sieve)
+    whole = [np.frombuffer(x, np.uint64) for x in shard.column(5).to_pylist()]
+    parent = list(range(len(names)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for at in range(len(names)):
+        for m in near.of(at):
+            if (x := root(at)) != (y := root(m)):
+                a, b = whole[m], whole[at]
+                places = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                both = int((b[places] == a).sum())
+                if both >= similarity * (len(a) + len(b) - both) - 1e-9:
                     parent[x] = y
-                    yield m, n
-        mine = holders.setdefault(v, [])
-        # of those with one fingerprint, one for each component is enough to meet the others
-        if all(root(part) != root(held) for _, held in mine):
-            mine.append((n, part))
-
+                    yield names[m], names[at]
 
-def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets have the similarity; `texts` holds a text by `name`."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_a"):
-            keep = []
-            for x, y in zip(texts_of(batch, "_a"), texts_of(batch, "_b"), strict=True):
-                x, y = set(shingles(x, words)), set(shingles(y, words))
-                both = len(x & y)
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    of = lambda c: texts.select(F.col("name").alias(c), F.col("_text").alias(f"_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
-
-
-def similar_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, keys: int | None = KEYS, sieve: int | None = SIEVE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id and `component_id`, the smallest id in the component of links
     between texts whose sets of shingles have a Jaccard similarity of at least `similarity`.
 
-    Each of a set's KEYS least hashes names a shard. Every link is verified on the texts.
-    Each shard's BK-trees give each set its nearest, fewer pairs than sets; where verified
-    links left sets in different components, the trees are asked again. So a large group
-    of copies is not compared pair by pair. No link is wrong; tests measure how many are found.
+    Each of a set's `keys` least hashes names a shard. Sets that have a neighbour there, by a BK-tree
+    over their fingerprints, go to it as sorted hashes, and a pair is linked once its sets were compared whole; pairs
+    that linked sets have joined before are passed over, so a large group of copies gives few links. No link is wrong,
+    and one is missed only if its sets share none of their least hashes (1 in 3,000 at a similarity of 0.8) or
+    differ in more than `sieve` of 128 bits (1 in 10^5); with `keys` and `sieve` None none is, at the price of a
+    fifth of all shingles as keys.
     Texts without words are one component. Null ids never name a component that has
     another id. Other columns are left out; an empty table gives an empty table.
     """
     schema = T.StructType([field(df, id_col), *(T.StructField(c, T.LongType()) for c in ("_hash", "name", "size", "one", "two")), T.StructField("least", T.ArrayType(T.LongType()))])
+    texts = df.select(F.col(id_col), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            rows = zip(*(_sketch(t, words, similarity) for t in texts_of(batch, "_text")), strict=True)
+            rows = zip(*(_sketch(_hashes(t, words), similarity, keys) for t in texts_of(batch, "_text")), strict=True)
             columns = [pa.array(c, f.type) for c, f in zip(rows, pa.schema([(c, pa.int64()) for c in "abcd"] + [("e", pa.list_(pa.int64()))]), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=schema.names)
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _whole_groups(batches):
-            same = columns[0][1:] == columns[0][:-1]
-            more = np.r_[False, same] | np.r_[same, False]
-            yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in columns], names=["key", "size", "name", "one", "two"])
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _groups(batches):
+            for batch in shard.filter(pa.array(_with_neighbours(shard, similarity, sieve))).combine_chunks().to_batches():
+                yield batch
 
-    def search(first: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for columns in _whole_groups(batches):
-                pairs = np.concatenate([_small_pairs(columns, similarity), np.array(list(_tree_pairs(columns, first)), np.int64).reshape(-1, 2)])
-                pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_hashes(t, words).tobytes() for t in texts_of(batch, "_text")], pa.binary())], names=["name", "set"])
 
-        return run
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _groups(batches):
+            pairs = np.array(list(similar_links(shard, similarity, sieve)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     dealt = lambda rows, *more: rows.repartition("key").sortWithinPartitions("key", "size", "one", "name").select("key", "size", "name", "one", "two", *more)
-    sketches = store(df.select(F.col(id_col), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text")).mapInArrow(sketch, schema))
-    nodes = sketches.groupBy("name").agg(F.min(id_col).alias("_least"), *(F.first(c).alias(c) for c in ("size", "one", "two", "least", "_hash")))
-    nodes = store(nodes)
-    shards = dealt(nodes.select(F.explode("least").alias("key"), "size", "name", "one", "two")).mapInArrow(shared, "key long, size long, name long, one long, two long")
-    shards = store(shards)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = store(pairs.distinct())
-        asked = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).distinct()
-        hashes = nodes.select("name", "_hash").join(asked, "name")
-        texts = df.select(F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text")).join(hashes, "_hash").groupBy("name").agg(F.min("_text").alias("_text"))
-        return cut(_similar(pairs, store(texts), words, similarity))
-
-    links = verified(dealt(shards, F.col("name").alias("component")).mapInArrow(search(True), "a long, b long"))
-    roots = cut(components(links).withColumnRenamed("node", "name"))
-    rooted = shards.join(roots, "name", "left").withColumn("component", F.coalesce("root", "name"))
-    links = links.union(verified(dealt(rooted, "component").mapInArrow(search(False), "a long, b long")))
+    sketches = store(texts.mapInArrow(sketch, schema))
+    nodes = store(sketches.groupBy("name").agg(F.min(id_col).alias("_least"), *(F.first(c).alias(c) for c in ("size", "one", "two", "least", "_hash"))))
+    shards = dealt(nodes.select(F.explode("least").alias("key"), "size", "name", "one", "two"))
+    asked = store(shards.mapInArrow(ask, "key long, size long, name long, one long, two long"), "asked")
+    # one text for each set that has a neighbour: texts that share a hash of 64 bits but not the set don't agree on the name
+    wanted = nodes.join(asked.select("name").distinct(), "name").select("name", "_hash")
+    one = texts.join(wanted, "_hash").groupBy("name").agg(F.min("_text").alias("_text"))
+    sets = store(one.mapInArrow(spell, "name long, set binary"), "sets")
+    links = cut(dealt(asked.join(sets, "name"), "set").mapInArrow(link, "a long, b long").distinct())
     roots = components(links).withColumnRenamed("node", "name")
     rooted = cut(nodes.select("name", "_least").join(roots, "name", "left").select("name", F.coalesce("root", "name").alias("root"), "_least"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("_least").alias("component_id")), "root").select("name", "component_id")

@@ -22,6 +22,58 @@ def brute_least(texts, words=5):
     return sorted(((k, least[g]) for (k, _), g in zip(texts, group, strict=True)), key=str)
 
 
+def indexed_least(texts, words=5):
+    """As brute_least, over the pairs that share one of the shingles of which similar sets must share one."""
+    sets, held, parent = [set(shingles(t or "", words)) for _, t in texts], {}, list(range(len(texts)))
+
+    def root(k):
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    for i, x in enumerate(sets):
+        for s in sorted(x)[: len(x) - -(-4 * len(x) // 5) + 1] or [None]:
+            for j in held.setdefault(s, []):
+                if root(i) != root(j) and 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                    parent[root(i)] = root(j)
+            held[s].append(i)
+    least = {}
+    for k, (n, _) in enumerate(texts):
+        if n is not None:
+            least[root(k)] = min(n, least.get(root(k), n))
+    return sorted(((n, least.get(root(k))) for k, (n, _) in enumerate(texts)), key=str)
+
+
+def families():
+    """Chains of edits, edits of edits and texts that are nearly but not similar enough, some hundreds of one family."""
+    rng = random.Random(23)
+    words, out = [f"w{k}" for k in range(2000)], []
+    for n in (30, 60, 120):
+        family = [rng.choices(words, k=n)]
+        for _ in range(150):
+            other = list(rng.choice(family))
+            for at in rng.sample(range(n), rng.choice([1, 1, 2, n // 25 + 1, n // 15 + 1])):
+                other[at] = rng.choice(words)
+            family.append(other)
+        out += [" ".join(w) for w in family]
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_families_of_edits(spark, whole):
+    """Texts between two others, near to both by bits and similar to one or none, must not hide a link."""
+    texts = families()
+    bounds = {"keys": None, "sieve": None} if whole else {}
+    got = sorted(((r.doc_id, r.component_id) for r in similar_texts(spark.createDataFrame(texts, "doc_id long, text string"), **bounds).collect()), key=str)
+    assert got == indexed_least(texts) and len({g for _, g in got}) > 20
+
+
+def test_given_documents(spark):
+    texts = database("/root/testdata/sf0.01").execute("SELECT doc_id, text FROM documents").fetchall()
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.component_id) for r in similar_texts(df).collect()), key=str) == indexed_least(texts)
+
+
 def copies():
     rng = random.Random(8)
     words = [f"w{k}" for k in range(500)]
@@ -48,7 +100,7 @@ def test_similar_texts(spark, given):
 
 def test_similar_stage(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    kept = dict(corpus_pipeline.SIMILAR_STAGES)["near_dedup"](spark, docs, FOLDER)
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, FOLDER)
     assert kept.schema == docs.schema
     least = brute_least([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(r.doc_id for r in kept.collect()) == sorted({g for _, g in least})
@@ -68,4 +120,4 @@ def test_recall_at_the_least_similarity(spark):
     alike = {k for k in range(400) if 5 * len(sets[2 * k] & sets[2 * k + 1]) >= 4 * len(sets[2 * k] | sets[2 * k + 1])}
     got = {r.doc_id: r.component_id for r in similar_texts(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     found = {k for k in range(400) if got[2 * k] == got[2 * k + 1]}
-    assert len(alike) > 100 and found <= alike and len(found) >= 0.98 * len(alike)
+    assert len(alike) > 100 and found <= alike and len(found) >= 0.99 * len(alike)
