@@ -18,13 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsframe.llm.common import field, slices, texts_of
+from obsframe.llm.common import field, slices, store, texts_of
 
 #: Bound of the sample per language: rows, and characters taken of any one row.
 SAMPLE_ROWS = 48
 SAMPLE_ROW_CHARS = 8192
 #: Characters of all samples together; each language has an equal share, so the model that is sent out has a bound.
 SAMPLE_CHARS = 2_000_000
+#: Languages whose bounds of the sample are broadcast at most; those of more are joined by a shuffle.
+BROADCAST_LANGUAGES = 100_000
 UNDETERMINED = "und"
 #: Texts are walked in stretches of this many characters side by side; phrases go on over their edges.
 STRETCH = 256
@@ -282,15 +284,20 @@ def fit(df: DataFrame, learn: Column, lang_col: str = "lang", id_col: str = "doc
     keys = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("_h"), F.col(lang_col).alias("_lang"))
     order = Window.partitionBy("_lang").orderBy("_h")
     chosen = keys.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_ROWS).groupBy("_lang").agg(F.max("_h").alias("_most"))
-    # one bound a language: small enough to broadcast whatever the number of rows
+    chosen = store(chosen, "languages")
+    share = SAMPLE_CHARS // max(1, languages := chosen.count())
+    # one bound a language: small enough to broadcast whatever the number of rows, if languages are few
+    chosen = F.broadcast(chosen) if languages <= BROADCAST_LANGUAGES else chosen
     texts = rows.select(F.xxhash64(F.col(id_col).cast("string")).alias("_h"), F.col(lang_col).alias("_lang"), F.substring(text_col, 1, SAMPLE_ROW_CHARS).alias("_text"))
-    sample = texts.join(F.broadcast(chosen), "_lang").where("_h <= _most")
+    sample = texts.join(chosen, "_lang").where("_h <= _most")
     order = Window.partitionBy("_lang").orderBy("_h", "_text")
     sample = sample.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SAMPLE_ROWS)
+    # cut to the share before anything is sent: SAMPLE_CHARS bounds what comes to the driver, however many languages there are
+    before = F.coalesce(F.sum(F.length("_text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sample = sample.withColumn("_left", (F.lit(share) - before).cast("int")).where("_left > 0").select("_lang", "_h", F.col("_text").substr(F.lit(1), F.col("_left")).alias("_text"))
     gathered: dict[str, list] = {}
-    for r in sample.select("_lang", "_h", "_text").collect():
+    for r in sample.collect():
         gathered.setdefault(r._lang, []).append((r._h, r._text))
-    share = SAMPLE_CHARS // max(1, len(gathered))
     return CrossParser({lang: "\n".join(t for _, t in sorted(rows))[:share] for lang, rows in gathered.items()})
 
 
