@@ -23,7 +23,7 @@ from obsframe.llm.simhash import similar_texts
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told go on, with the predicted language as `lang`; those without a
-    letter (`und`; null and empty texts too) go."""
+    letter (`und`; null and empty texts too) go. Repeated rows go or stay together; an empty table stays empty."""
     model = language_id.fit(docs, fold("doc_id", 3) != 1)
     prefix = next(p for k in range(1, 99) if not any(c.startswith(p := "_" * k) for c in docs.columns))
     found = language_id.identify_language(docs, model, prefix=prefix)
@@ -33,7 +33,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template recurs stay in their first document only; n_chars follows the text. Null texts stay null."""
+    """Lines whose template recurs stay in their first document only; n_chars follows the text. Null texts stay null.
+    Rows that repeat an id are one document and all stay; an empty table stays empty."""
     kept = drop_recurring_lines(docs)
     return kept.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
@@ -42,7 +43,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """Of each component of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or
     more (found by their SimHash fingerprints, then verified) the document with the smallest id stays.
     Texts without words are one component. Rows that agree in id and text are one document; other
-    texts under the id that stays stay too. Rows without an id stay: no group can name them."""
+    texts under the id that stays stay too. Rows without an id stay: no group can name them. An empty table stays empty."""
     found = similar_texts(docs, words=5, similarity=0.8)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
@@ -51,14 +52,15 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item of LEAST_ITEM words or more go: shorter ones say too little to
-    drop a document for. Null and empty texts stay."""
+    drop a document for. Null and empty texts stay, repeated rows go or stay together, an empty table stays empty."""
     result = free_name(docs, "_overlaps")
     found = find_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), result=result)
     return found.where(F.size(result) == 0).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that are left, in sequences of at most 1024 tokens; null texts are the end alone."""
+    """Pieces of the documents that are left, in sequences of at most 1024 tokens; null texts are the end alone. Repeated
+    rows are packed each; an empty table gives no piece."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -70,9 +72,6 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: Near copies are found by similarity in any case; the name stays for those who chose it.
-SIMILAR_STAGES = STAGES
-
 #: Language ID, SimHash and packing can't be written in SQL; tests compare the pipeline with plain Python.
 ORACLE_SQL: str | None = None
 
