@@ -16,9 +16,10 @@ from pyspark.sql import types as T
 
 from obsframe import streaming
 from obsframe.functions import exact_sum, meta, point
-from obsframe.operators import composite, reduce, select, series, space
+from obsframe.operators import change, composite, reduce, select, series, space, tiles
+from obsframe.operators.nearest import nearest
 from obsframe.plans.requests import expand_requests
-from obsframe.sources import paged, store
+from obsframe.sources import paged, sketches, store
 from obsframe.streaming.alarms import gap_alarms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -299,6 +300,82 @@ def k01_pull_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily[0].join(again, "day", "left")
 
 
+_POINTS = "p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
+_TILES = f"""{_POINTS}, t AS (SELECT floor(x / 0.05)::BIGINT AS tile_x, floor(y / 0.05)::BIGINT AS tile_y, count(*)::BIGINT AS n FROM p GROUP BY ALL)"""
+
+
+@query(f"""WITH {_POINTS} SELECT query_id, rank, vec_id, sqrt(d) AS distance FROM (
+        SELECT a.vec_id AS query_id, b.vec_id, (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) AS d,
+            row_number() OVER (PARTITION BY a.vec_id ORDER BY (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y), b.vec_id)::INTEGER AS rank
+        FROM p a JOIN p b ON a.vec_id <> b.vec_id) WHERE rank <= 5""")
+def c29_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(points(spark, sf_dir), 5)
+
+
+@query(f"""WITH {_TILES} SELECT a.tile_x, a.tile_y, a.n, sum(b.n)::BIGINT AS window_sum, count(*)::BIGINT AS window_tiles
+    FROM t a JOIN t b ON b.tile_x BETWEEN a.tile_x - 2 AND a.tile_x + 2 AND b.tile_y BETWEEN a.tile_y - 2 AND a.tile_y + 2 GROUP BY ALL""")
+def c30_focal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.focal(space.tile(points(spark, sf_dir), 0.05), 2)
+
+
+@query(f"""WITH RECURSIVE {_TILES}, kept AS (SELECT * FROM t WHERE n >= 3),
+    reached AS (SELECT tile_x, tile_y, tile_x AS fx, tile_y AS fy FROM kept
+        UNION SELECT k.tile_x, k.tile_y, r.fx, r.fy FROM reached r JOIN kept k ON abs(k.tile_x - r.tile_x) + abs(k.tile_y - r.tile_y) = 1),
+    named AS (SELECT tile_x, tile_y, min((fx, fy)) AS f FROM reached GROUP BY ALL)
+    SELECT f[1] AS region_x, f[2] AS region_y, count(*)::BIGINT AS tiles, sum(n)::BIGINT AS total, min(tile_x) AS x0, min(tile_y) AS y0, max(tile_x) AS x1, max(tile_y) AS y1
+    FROM named JOIN kept USING (tile_x, tile_y) GROUP BY f""")
+def c31_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.regions(space.tile(points(spark, sf_dir), 0.05), 3)
+
+
+_DAILY = """d AS (SELECT user_id, date_diff('day', DATE '1970-01-01', ts::DATE)::BIGINT AS day, sum(value::DECIMAL(18,6))::DOUBLE / count(value) AS value
+        FROM events WHERE value IS NOT NULL GROUP BY ALL),
+    s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM d)"""
+
+
+@query(f"""WITH {_DAILY}, runs AS (
+        SELECT a.user_id, a.n, a.i AS low, b.i + 1 AS high, a.day AS starts, regr_syy(c.value, c.day) - regr_sxy(c.value, c.day) ** 2 / regr_sxx(c.value, c.day) AS error
+        FROM s a JOIN s b ON a.user_id = b.user_id AND b.i >= a.i + 4 JOIN s c ON c.user_id = a.user_id AND c.i BETWEEN a.i AND b.i
+        WHERE a.i = 0 OR a.i >= 5 GROUP BY ALL),
+    cuts AS (SELECT user_id, y.starts AS first, z.starts AS second, x.error + y.error + z.error AS error FROM runs x JOIN runs y USING (user_id) JOIN runs z USING (user_id)
+        WHERE x.low = 0 AND y.low = x.high AND z.low = y.high AND z.high = z.n),
+    whole AS (SELECT user_id, error FROM runs WHERE low = 0 AND high = n)
+    SELECT user_id, (DATE '1970-01-01' + c.first::INTEGER)::VARCHAR AS first_break, (DATE '1970-01-01' + c.second::INTEGER)::VARCHAR AS second_break, round(c.error, 4) AS error, round(w.error, 4) AS error_without
+    FROM (SELECT user_id, unnest(min_by(c, error)) FROM cuts c GROUP BY user_id) c JOIN whole w USING (user_id)""")
+def c32_break_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = change.break_points(change.daily_means(events(spark, sf_dir), "user_id"), "user_id", 2)
+    day = lambda k: F.date_add(F.lit("1970-01-01").cast("date"), F.get("breaks", F.lit(k)).cast("int")).cast("string")
+    return found.select("user_id", day(0).alias("first_break"), day(1).alias("second_break"), F.round("error", 4).alias("error"), F.round("error_without", 4).alias("error_without"))
+
+
+@query(f"""WITH {_DAILY}, pairs AS (
+        SELECT a.user_id, sign(b.value - a.value)::BIGINT AS s, (b.value - a.value) / (b.day - a.day) AS slope FROM s a JOIN s b ON a.user_id = b.user_id AND b.i > a.i),
+    ties AS (SELECT user_id, sum(k * (k - 1) * (2 * k + 5))::DOUBLE AS t FROM (SELECT user_id, count(*) AS k FROM s GROUP BY user_id, value) GROUP BY user_id),
+    sums AS (SELECT user_id, sum(s)::BIGINT AS s, quantile_cont(slope, 0.5) AS sen FROM pairs GROUP BY user_id),
+    counts AS (SELECT user_id, count(*)::BIGINT AS n FROM s GROUP BY user_id)
+    SELECT user_id, n, coalesce(s, 0) AS s, round(CASE WHEN n * (n - 1) * (2 * n + 5) > t THEN (s - sign(s)) / sqrt((n * (n - 1) * (2 * n + 5) - t) / 18) END, 6) AS z, round(sen, 6) AS sen_slope
+    FROM counts JOIN ties USING (user_id) LEFT JOIN sums USING (user_id)""")
+def c33_rank_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = change.rank_trend(change.daily_means(events(spark, sf_dir), "user_id"), "user_id")
+    return found.withColumns({c: F.round(c, 6) for c in ("z", "sen_slope")})
+
+
+@query("""SELECT event_type, count(value)::BIGINT AS n, sum(value::DECIMAL(18,6))::DOUBLE AS total, count(DISTINCT user_id)::BIGINT AS sites, true AS p50_in_bounds, true AS p90_in_bounds
+    FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-22' GROUP BY event_type""")
+def k04_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two weeks from stored sketches; the observations are read again only to see whether the quantiles keep their bounds."""
+    path = streaming.shared_folder(spark, "sketches")
+    sketches.write_sketches(events(spark, sf_dir), path, ["event_type"])
+    found = sketches.read_range(spark, path, "2024-01-08", "2024-01-21", {"p50": 0.5, "p90": 0.9}, ["event_type"])
+    seen = select.filter_date(events(spark, sf_dir), datetime(2024, 1, 8), datetime(2024, 1, 22)).select("event_type", "value")
+    both = seen.join(found, "event_type")
+    # three times the usual bound, which one in a hundred quantiles may miss
+    slack = 3 * sketches.RANK_ERROR
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    inside = lambda q, p: (share(F.col("value") < F.col(q)) <= p + slack) & (share(F.col("value") <= F.col(q)) >= p - slack)
+    return both.groupBy("event_type", "n", "total", "sites").agg(inside("p50", 0.5).alias("p50_in_bounds"), inside("p90", 0.9).alias("p90_in_bounds"))
+
+
 @query("SELECT event_id, ts, value * 2 AS value, ts::DATE::VARCHAR AS day FROM events WHERE ts::DATE = DATE '2024-01-10' UNION ALL SELECT event_id, ts, value, ts::DATE::VARCHAR AS day FROM events WHERE ts::DATE <> DATE '2024-01-10'")
 def k02_replace_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = streaming.shared_folder(spark, "days")

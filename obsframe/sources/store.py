@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from obsframe.streaming import shared_folder
+
 
 def write_days(df: DataFrame, path: str, time: str = "ts") -> None:
     """Write by day; days that are in `df` are replaced, all others stay. Rows of one day are dealt to as
@@ -35,3 +37,11 @@ def export(df: DataFrame, path: str, kind: str) -> None:
 def read_export(spark: SparkSession, path: str, kind: str, schema: T.StructType) -> DataFrame:
     """Read what `export` wrote; the schema is given, so no file is read to infer it."""
     return spark.read.options(**_OPTIONS[kind]).schema(schema).format(kind).load(path)
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write `df` to the shared checkpoint folder and return a reader of it: what comes behind survives lost executors and
+    doesn't repeat what came before."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
