@@ -5,7 +5,9 @@ bits. Each choice of two blocks with their bits names a shard; every distinct
 fingerprint goes to its shards, and the task that owns a shard puts its
 fingerprints into a BK-tree (children keyed by their Hamming distance to the
 parent) and follows only edges within the radius. Trees of the whole corpus
-grow with it, so they are dealt out by key instead of broadcast.
+grow with it, so they are dealt out by key instead of broadcast. Crowded shards
+are dealt anew: fingerprints within the radius also agree on three of radius + 3
+blocks, on four of radius + 4 and so on, which name ever smaller shards.
 
 `similar_texts` links by exact Jaccard similarity of the shingle sets instead:
 shards are named by each set's least shingle hashes, and fingerprints of twice
@@ -30,6 +32,9 @@ from obsframe.llm.common import cut, field, slices, store, texts_of
 from obsframe.llm.components import components
 
 BITS = 64
+#: Fingerprints of a shard that are searched in one tree, and agreeing blocks that name one, at most.
+SHARD = 2000
+MOST_AGREEING = 6
 #: Of 128 bits, how many may differ in a pair that is compared whole. At a similarity of 0.8 about 19 (deviation 4) do, in unlike texts 64 (6).
 SIEVE = 38
 #: Least shingle hashes of a set that name its shards: one set in 0.2**5 of a similarity of 0.8 shares none of them.
@@ -117,42 +122,64 @@ def spanning_links(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
                 yield v, other
 
 
-def shard_keys(radius: int) -> list[Column]:
-    """Of column `fingerprint`, for each choice of two of radius + 2 blocks: the choice and its bits in one long."""
-    edges = [round(k * BITS / (radius + 2)) for k in range(radius + 3)]
-    bits = lambda a: F.shiftrightunsigned("fingerprint", edges[a]).bitwiseAND((1 << (edges[a + 1] - edges[a])) - 1)
-    pairs = list(combinations(range(radius + 2), 2))
-    return [F.lit(n).cast("long") * F.lit(1 << 44) + bits(a) * F.lit(1 << 22) + bits(b) for n, (a, b) in enumerate(pairs)]
+def shard_keys(radius: int, agreeing: int = 2) -> list[Column]:
+    """Of column `fingerprint`, for each choice of `agreeing` of radius + `agreeing` blocks: the choice, and its bits, in one long."""
+    count = radius + agreeing
+    edges = [round(k * BITS / count) for k in range(count + 1)]
+    masks = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(count)]
+    # longs are signed in Spark
+    chosen = (sum(masks[k] for k in choice) for choice in combinations(range(count), agreeing))
+    return [F.xxhash64(F.lit(n), F.col("fingerprint").bitwiseAND(F.lit(m - (1 << BITS) if m >> (BITS - 1) else m))) for n, m in enumerate(chosen)]
 
 
 def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     """Links (a, b) between distinct values of `fingerprint` that have the same components as all
-    pairs within `radius` (1 to 14) bits. A value is held once however many rows share it."""
-    shards = prints.select("fingerprint", F.explode(F.array(*shard_keys(radius))).alias("key"))
-    shards = shards.repartition("key").sortWithinPartitions("key", "fingerprint")
+    pairs within `radius` (1 to 14) bits. A value is held once however many rows share it.
+
+    Members of shards that hold more than SHARD values meet again in shards named by one block more, up to MOST_AGREEING
+    blocks; a shard that is crowded even then is searched as it is."""
+    found, rest = None, prints.select("fingerprint")
+    for agreeing in range(2, MOST_AGREEING + 1):
+        rows = store(_searched(rest, radius, agreeing, SHARD if agreeing < MOST_AGREEING else None), "links")
+        linked = rows.where("NOT crowded").select("a", "b")
+        found = linked if found is None else found.union(linked)
+        rest = rows.where("crowded").select(F.col("a").alias("fingerprint")).distinct()
+        if rest.isEmpty():
+            break
+    return found
+
+
+def _searched(prints: DataFrame, radius: int, agreeing: int, limit: int | None) -> DataFrame:
+    """(a, b, crowded): the links that a BK-tree finds in each shard of up to `limit` values, and (value, value, true) for each
+    value of the others. A task holds `limit` values of one shard at most."""
+    kinds = [pa.int64(), pa.int64(), pa.bool_()]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_keys, rest = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            keys = np.r_[rest_keys, batch.column(1).to_numpy()]
-            values = np.r_[rest, batch.column(0).to_numpy()]
-            start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, int)
-            # the last shard may go on in the next batch
-            yield from emit(values[: start[-1]], start[:-1], start[1:]) if len(start) else ()
-            rest_keys, rest = (keys[start[-1] :], values[start[-1] :]) if len(start) else (keys, values)
-        if len(rest):
-            yield from emit(rest, np.array([0]), np.array([len(rest)]))
-
-    def emit(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
-        for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            # as unsigned, so that XOR and bit_count see 64 bits
-            found += spanning_links(values[s:e].view(np.uint64).tolist(), radius)
-        if found:
-            pairs = np.array(found, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        current, held, crowded = None, [], False
 
-    return shards.select("fingerprint", "key").mapInArrow(search, "a long, b long")
+        def rows(linked: list[tuple[int, int]], full: list[int]) -> pa.RecordBatch:
+            a, b = (np.array([p[k] for p in linked] + full, np.uint64).view(np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((a, b, np.arange(len(a)) >= len(linked)), kinds, strict=True)], names=["a", "b", "crowded"])
+
+        for batch in batches:
+            key, value = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            edges = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+            linked, full = [], []
+            # values alone in a shard link nothing; the first and the last shard may go on in other batches
+            several = np.flatnonzero((np.diff(edges) > 1) | (np.arange(len(edges) - 1) == 0) | (np.arange(len(edges) - 1) == len(edges) - 2)) if len(key) else []
+            for g in several:
+                if key[edges[g]] != current:
+                    linked += spanning_links(held, radius)
+                    current, held, crowded = key[edges[g]], [], False
+                held += value[edges[g] : edges[g + 1]].tolist()
+                if limit and (crowded or len(held) > limit):
+                    full += held
+                    held, crowded = [], True
+            yield rows(linked, full)
+        yield rows(list(spanning_links(held, radius)), [])
+
+    shards = prints.select("fingerprint", F.explode(F.array(*shard_keys(radius, agreeing))).alias("key"))
+    return shards.repartition("key").sortWithinPartitions("key", "fingerprint").select("key", "fingerprint").mapInArrow(search, "a long, b long, crowded boolean")
 
 
 def near_duplicates(df: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
