@@ -2,14 +2,15 @@
 
 Rows are written once in two tables: tiles of 8-bit cells per dimension, and the
 exact integers. The scan reads cells only: blocks of queries meet parts of the
-tiles, and each leaves the rows whose score may reach the k-th best lower bound.
+tiles, and each leaves the rows whose score may reach the k-th best lower bound;
+one part is scanned first, so that each query brings such a bound to all others.
 Exact vectors are then read in order of their upper bound: the first k of each
 query, and of the rest those that the k-th exact score doesn't rule out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -62,10 +63,11 @@ class Cells:
         return product, about, margin
 
 
-def candidates(tiles: list[tuple[np.ndarray, np.ndarray, Cells]], query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[np.ndarray]:
+def candidates(tiles: list[tuple[np.ndarray, np.ndarray, Cells]], query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[np.ndarray]:
     """For (rows, their ids, cells) of `tiles`: the place of the query, the row, and the bounds of the score from below
-    and above, of all rows of other ids that may be among the query's k best. Query ids are distinct."""
-    floor = np.full(len(query_ids), -np.inf)
+    and above, of all rows of other ids that may be among the query's k best. Query ids are distinct. `floor`: a score
+    that each query's k-th best is known to reach."""
+    floor = np.full(len(query_ids), -np.inf) if floor is None else floor.copy()
     order = np.argsort(query_ids)
     ranked = query_ids[order]
     found = []
@@ -132,13 +134,28 @@ def scan(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, row, low, high): the rows that may be among a query's k best, from the cells alone.
 
     Parts of about PART tiles and blocks of about BLOCK queries meet once each, in tasks that hold one of both; the
-    tiles are shuffled once a block, the queries once a part, and nothing passes through the driver but two counts."""
+    tiles are shuffled once a block, the queries once a part, and nothing passes through the driver but two counts. A
+    task sends only what can reach the k-th best lower bound of the first part, which is k rows or fewer for most."""
     tiles = write_tiles(rows)
     parts, blocks = max(1, -(-tiles.count() // PART)), max(1, -(-asked.count() // BLOCK))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = tiles.withColumn("part", dealt("tile", parts)).withColumn("block", every(blocks))
-    grouped = asked.groupBy(F.size("v").alias("n"), dealt("id", blocks).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("asked"))
+    tiles = tiles.withColumn("part", dealt("tile", parts))
+    if parts > 1:
+        # what one part holds for a query bounds what any other part must beat to be sent on
+        first = _met(tiles.where("part = 0"), asked.withColumn("floor", F.lit(float("-inf"))), [0], blocks, k)
+        best = first.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))).where(F.col("_n") == k)
+        asked = asked.join(best.select(F.col("query_id").alias("id"), F.col("low").alias("floor")), "id", "left").fillna(float("-inf"), "floor")
+    else:
+        asked = asked.withColumn("floor", F.lit(float("-inf")))
+    return store(_met(tiles, asked, range(parts), blocks, k), "candidates")
+
+
+def _met(tiles: DataFrame, asked: DataFrame, parts: Sequence[int], blocks: int, k: int) -> DataFrame:
+    """`scan` of the tiles of `parts`, with a floor for each query."""
+    every = lambda numbers: F.explode(F.array(*map(F.lit, numbers)) if len(numbers) == 1 else F.sequence(F.lit(numbers[0]), F.lit(numbers[-1])))
+    left = tiles.withColumn("block", every(range(blocks)))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
+    grouped = asked.groupBy(F.size("v").alias("n"), block).agg(F.collect_list(F.struct("id", "v", "floor")).alias("asked"))
     right = grouped.withColumn("part", every(parts))
     keys = ("n", "part", "block")
 
@@ -147,18 +164,17 @@ def scan(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         if tiles.num_rows and block.num_rows:
             n = tiles.column("n")[0].as_py()
             queries = block.column("asked").combine_chunks().flatten()
-            ids = queries.field("id").to_numpy(zero_copy_only=False)
+            ids, floor = (queries.field(c).to_numpy(zero_copy_only=False) for c in ("id", "floor"))
             held = []
             for t in tiles.to_pylist():
                 row, own, low, step = (np.frombuffer(t[c], kind) for c, kind in (("rows", np.int64), ("ids", np.int64), ("low", float), ("step", float)))
                 held.append((row, own, Cells(low, step, np.frombuffer(t["cells"], np.uint8).reshape(len(row), n))))
-            q = candidates(held, ids, _vectors(queries.field("v"), n).astype(np.float64), k)
+            q = candidates(held, ids, _vectors(queries.field("v"), n).astype(np.float64), k, floor)
             q[0] = ids[q[0]]
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(c, t) for c, t in zip(q, kinds, strict=True)], names=["query_id", "row", "low", "high"])
 
-    both = left.groupBy(*keys).cogroup(right.groupBy(*keys))
-    return store(both.applyInArrow(search, "query_id long, row long, low double, high double"), "candidates")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, row long, low double, high double")
 
 
 def read_exact(found: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:

@@ -245,6 +245,15 @@ def test_vector_search_reads_few_exact_vectors():
     for k in range(7):
         assert set(np.argsort(-truth[:, k], kind="stable")[:10]) <= set(row[q == k].tolist())
     assert len(row) < 0.1 * 7 * 5000
+    # with what one tile tells of the k-th best, the others send less, and still every one of the best
+    q1, _, low1, _ = v.candidates(tiles[:1], np.arange(-7, 0), asked.astype(float), 10)
+    floor = np.array([np.sort(low1[q1 == k])[-10] for k in range(7)])
+    for tile in tiles[1:]:
+        alone, least = (v.candidates([tile], np.arange(-7, 0), asked.astype(float), 10, f) for f in (None, floor))
+        assert len(least[1]) < len(alone[1])
+        for k in range(7):
+            best = set(np.argsort(-truth[:, k], kind="stable")[:10]) & set(tile[0].tolist())
+            assert best <= set(least[1][least[0] == k].tolist())
 
 
 @pytest.mark.parametrize(("tile", "part", "block"), [(4096, 16, 4096), (7, 2, 3)])
