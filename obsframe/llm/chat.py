@@ -176,6 +176,7 @@ SQL = r"""
            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, given NULLS FIRST, has, safe)) AS turns_sha256,
            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, given NULLS FIRST, has, safe) FILTER (role = 'assistant'), '')) AS loss_sha256,
-           sum(length(piece))::BIGINT AS formatted_chars
+           sum(length(piece))::BIGINT AS formatted_chars,
+           regexp_full_match(string_agg(CASE WHEN role IN ('system', 'user', 'assistant') THEN left(role, 1) ELSE '?' END, '' ORDER BY turn NULLS FIRST, given NULLS FIRST, has, safe), 's?(ua)*u?') AS valid
     FROM marked GROUP BY conv_id
 """

@@ -32,7 +32,8 @@ def plain(rows):
         learned = "".join(t for *_, r, t in turns if r == "assistant")
         marks = {"system": ("[SYS] ", "[/SYS]\n"), "user": ("[INST] ", "[/INST]\n"), "assistant": ("<s>", "</s>\n")}
         size = sum(len(a) + len(escaped(t)) + len(b) for *_, r, t in turns for a, b in [marks.get(r, (f"[ROLE] {escaped(r)}[/ROLE] ", "[/TURN]\n"))])
-        out[conv] = (len(turns), sha256(said.encode()).hexdigest(), len(learned), sha256(learned.encode()).hexdigest(), size)
+        valid = re.fullmatch("s?(ua)*u?", "".join({"system": "s", "user": "u", "assistant": "a"}.get(r, "?") for *_, r, _ in turns)) is not None
+        out[conv] = (len(turns), sha256(said.encode()).hexdigest(), len(learned), sha256(learned.encode()).hexdigest(), size, valid)
     return out
 
 
@@ -49,7 +50,7 @@ RANDOM = [(k, t, random.choice(["user", "assistant", "system", "tool", None]), o
 @pytest.mark.parametrize("rows", [[], TIES, LONG, RANDOM], ids=["empty", "ties and nulls", "long", "odd texts"])
 def test_read_back(spark, tmp_path, rows):
     spark.createDataFrame(rows, ROWS).write.parquet(f"{tmp_path}/conversations.parquet")
-    found = queries.op12_chat(spark, str(tmp_path)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars").collect()
+    found = queries.op12_chat(spark, str(tmp_path)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid").collect()
     assert {r[0]: tuple(r)[1:] for r in found} == plain(rows) and len(found) == len(plain(rows))
 
 
