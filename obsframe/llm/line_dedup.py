@@ -39,11 +39,15 @@ def masked(line: Column) -> Column:
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, _VARIABLE, WILDCARD)).otherwise(plain)
 
 
-def leaves(line: Column, depth: int = DEPTH) -> Column:
+def leading(line: Column, depth: int = DEPTH) -> tuple[Column, Column]:
+    """The number of a masked line's tokens, and an array of the first ones."""
+    count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return count, F.split(F.substring_index(line, " ", depth), " ")
+
+
+def leaves(count: Column, lead: Column, depth: int = DEPTH) -> Column:
     """Hashes of the leaves that a masked line reaches: its number of tokens and leading tokens as they are, and
     with each of them as the wildcard. None for lines too short for a template."""
-    count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    lead = F.split(F.substring_index(line, " ", depth), " ")
     paths = [[F.lit(WILDCARD) if k == wild else F.get(lead, F.lit(k)) for k in range(depth)] for wild in range(-1, depth)]
     return F.when(count > max(LEAST_KEPT, depth - 1), F.array_distinct(F.array(*(F.xxhash64(count, *p) for p in paths)))).otherwise(F.array().cast("array<bigint>"))
 
@@ -102,7 +106,10 @@ def drop_recurring_lines(df: DataFrame, least_documents: int = LEAST_DOCUMENTS,
     # lines without tokens go by a look at the line as it is: a condition on the masked line would mask it twice
     split = whole.select("_id", "_text", F.posexplode("_raw").alias("_at", "_raw")).where(F.col("_raw").rlike("[^ \\t\\x0B\\f\\r]"))
     split = split.select("_id", "_text", "_at", masked(F.col("_raw")).alias("_line"))
-    places = store(split.select("*", F.xxhash64("_line").alias("_t"), leaves(F.col("_line")).alias("_leaves")), "lines")
+    # columns of their own: inside a condition they would be worked out once a use
+    count, lead = leading(F.col("_line"))
+    split = split.select("*", F.xxhash64("_line").alias("_t"), count.alias("_count"), lead.alias("_lead"))
+    places = store(split.select("_id", "_text", "_at", "_line", "_t", leaves(F.col("_count"), F.col("_lead")).alias("_leaves")), "lines")
     learned = store(learned_templates(places, least_documents), "templates")
     often = lambda of, t: of.groupBy(t).agg(F.count_distinct("_id").alias("_n"), F.min("_id").alias("_first")).where(F.col("_n") >= least_documents).select(t, "_first")
     plain = often(places.select("_id", "_t"), "_t")
