@@ -347,7 +347,7 @@ def similar_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, keys:
     # one text for each set that has a neighbour: texts that share a hash of 64 bits but not the set don't agree on the name
     wanted = nodes.join(asked.select("name").distinct(), "name").select("name", "_hash")
     one = texts.join(wanted, "_hash").groupBy("name").agg(F.min("_text").alias("_text"))
-    sets = store(one.mapInArrow(spell, "name long, set binary"), "sets")
+    sets = one.mapInArrow(spell, "name long, set binary")
     links = cut(dealt(asked.join(sets, "name"), "set").mapInArrow(link, "a long, b long").distinct())
     roots = components(links).withColumnRenamed("node", "name")
     rooted = cut(nodes.select("name", "_least").join(roots, "name", "left").select("name", F.coalesce("root", "name").alias("root"), "_least"))
