@@ -16,18 +16,22 @@ from obsframe.functions import EXACT, exact_mean, exact_sum
 
 
 def reduce(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Count, mean, median, min, max and sample standard deviation of the values that aren't null. The median is found by
-    rank, see `percentiles`: no task holds all values of a group. Rows whose keys are null are groups too."""
-    sums = df.groupBy(*keys).agg(
+    """Count, mean, median, min, max and sample standard deviation of the values that aren't null. The median is found as in
+    `percentiles`: no task holds all values of a large group. Rows whose keys are null are groups too."""
+    rows = df.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.col(value).alias(value), F.col(value).cast("double").alias("_v"))
+    named, at = rows.columns[: len(keys)], {"median": 0.5}
+    groups = rows.groupBy(*named).agg(
         F.count(value).alias("n"),
         exact_mean(value).alias("mean"),
         F.min(value).alias("min"),
         F.max(value).alias("max"),
         F.round(F.stddev_samp(value), 6).alias("sd"),
+        F.count("_v").alias("_total"),
     )
-    middle = percentiles(df, keys, {"_median": 0.5}, value).withColumnsRenamed({k: f"_{n}" for n, k in enumerate(keys)})
-    same = reduce_all(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{n}")) for n, k in enumerate(keys)), F.lit(True))
-    return sums.join(middle, same).select(*keys, "n", "mean", F.col("_median").alias("median"), "min", "max", "sd")
+    values = rows.select(*named, "_v")
+    middle = _ordered(values, groups, named, at).unionByName(_ranked(values, groups, named, at)).withColumnsRenamed({n: f"{n}m" for n in named})
+    whole = groups.join(middle, _equal(named, "m"), "left")
+    return whole.select(*(F.col(n).alias(k) for k, n in zip(keys, named, strict=True)), "n", "mean", "median", "min", "max", "sd")
 
 
 def value_range(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -56,30 +60,52 @@ def sliding(df: DataFrame, size: str, step: str, keys: Sequence[str] = (), time:
     return sums.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n", "total")
 
 
+#: Groups of up to so many values are put in order by one task each; larger ones are ranked in parts.
+SMALL = 100_000
 #: Ranks are looked for within this share of the rows around the sketched place (the sketch errs by half of it).
 _MARGIN = 0.001
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], at: Mapping[str, float], value: str = "value", accuracy: int | None = None, digits: int | None = 6) -> DataFrame:
+def percentiles(df: DataFrame, keys: Sequence[str], at: Mapping[str, float], value: str = "value", accuracy: int | None = None) -> DataFrame:
     """Interpolated percentiles, exact, or with `accuracy` approximate; nulls are skipped, and a group of nulls has null. NaN
-    is the highest value. Results are rounded to `digits` (None: not).
+    is the highest value. Results are rounded to 6 digits.
 
-    Exact ones are found by rank. A quantile sketch of each group gives bounds a little below and above each place
-    asked for; rows are counted between the bounds, and only those that lie in intervals which hold a rank are shuffled
-    and put in order, interval by interval. So of a large group a small share moves, whatever its values are like.
-    The sketch decides how much is put in order, not what comes out."""
-    shown = lambda c, name: (c if digits is None else F.round(c, digits)).alias(name)
+    Groups of up to SMALL values are put in order whole. Larger ones are found by rank: a quantile sketch of each group
+    gives bounds a little below and above each place asked for; rows are counted between the bounds, and only those that
+    lie in intervals which hold a rank are shuffled and put in order, interval by interval. So of a large group a small
+    share moves, whatever its values are like, and the sketch decides how much is put in order, not what comes out."""
     if accuracy is not None:
-        return df.groupBy(*keys).agg(*(shown(F.percentile_approx(value, F.lit(p), accuracy), name) for name, p in at.items()))
-    named = [f"_k{n}" for n in range(len(keys))]
-    rows = df.select(*(F.col(k).alias(n) for k, n in zip(keys, named, strict=True)), F.col(value).cast("double").alias("_v"))
+        return df.groupBy(*keys).agg(*(F.round(F.percentile_approx(value, F.lit(p), accuracy), 6).alias(name) for name, p in at.items()))
+    rows = df.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.col(value).cast("double").alias("_v"))
+    named = rows.columns[:-1]
+    groups = rows.groupBy(*named).agg(F.count("_v").alias("_total"))
+    none = groups.where("_total = 0").select(*named, *(F.lit(None).cast("double").alias(name) for name in at))
+    found = _ordered(rows, groups, named, at).unionByName(_ranked(rows, groups, named, at)).unionByName(none)
+    return found.select(*(F.col(n).alias(k) for k, n in zip(keys, named, strict=True)), *at)
+
+
+def _equal(named: Sequence[str], suffix: str) -> Column:
+    return reduce_all(lambda x, y: x & y, (F.col(n).eqNullSafe(F.col(n + suffix)) for n in named), F.lit(True))
+
+
+def _ordered(rows: DataFrame, groups: DataFrame, named: Sequence[str], at: Mapping[str, float]) -> DataFrame:
+    """(keys, percentiles) of the groups of up to SMALL values."""
+    small = groups.where(F.col("_total").between(1, SMALL)).select(*(F.col(n).alias(f"{n}s") for n in named))
+    mine = rows.join(small, _equal(named, "s")).groupBy(*named).agg(F.percentile("_v", F.array(*map(F.lit, at.values()))).alias("_p"))
+    return mine.select(*named, *(F.round(F.get("_p", F.lit(n)), 6).alias(name) for n, name in enumerate(at)))
+
+
+def _ranked(rows: DataFrame, groups: DataFrame, named: Sequence[str], at: Mapping[str, float]) -> DataFrame:
+    """(keys, percentiles) of the groups of more than SMALL values."""
+    large = groups.where(F.col("_total") > SMALL).select(*(F.col(n).alias(f"{n}l") for n in named))
+    rows = rows.where("_v is not null").join(large, _equal(named, "l")).select(*named, "_v")
     around = sorted({min(max(p + side * _MARGIN, 0.0), 1.0) for p in at.values() for side in (-1, 1)})
-    sketch = rows.groupBy(*named).agg(F.count("_v").alias("_total"), F.percentile_approx("_v", F.array(*map(F.lit, around)), int(2 / _MARGIN)).alias("_bounds"))
-    mine = sketch.select(*(F.col(n).alias(f"{n}s") for n in named), "_total", "_bounds")
-    equal = lambda suffix: reduce_all(lambda x, y: x & y, (F.col(n).eqNullSafe(F.col(n + suffix)) for n in named), F.lit(True))
+    sketch = F.percentile_approx("_v", F.array(*map(F.lit, around)), int(2 / _MARGIN)).alias("_bounds")
+    bounds = rows.groupBy(*(F.col(n).alias(f"{n}s") for n in named)).agg(sketch)
     # a bound that stands below a place counts from itself on, one above it behind itself, so that both are in between
-    passed = [F.when((F.col("_v") > F.get("_bounds", F.lit(k))) | ((F.col("_v") == F.get("_bounds", F.lit(k))) & F.lit(k % 2 == 0)), 1).otherwise(0) for k in range(len(around))]
-    placed = rows.where("_v is not null").join(mine, equal("s")).select(*named, "_v", reduce_all(lambda x, y: x + y, passed).alias("_place"))
+    bound = lambda k: F.get("_bounds", F.lit(k))
+    passed = [F.when((F.col("_v") > bound(k)) | ((F.col("_v") == bound(k)) & F.lit(k % 2 == 0)), 1).otherwise(0) for k in range(len(around))]
+    placed = rows.join(bounds, _equal(named, "s")).select(*named, "_v", reduce_all(lambda x, y: x + y, passed).alias("_place"))
     of_group = Window.partitionBy(*named)
     up_to = Window.unboundedPreceding
     parts = placed.groupBy(*named, "_place").agg(F.count("*").alias("_n"))
@@ -89,7 +115,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], at: Mapping[str, float], val
     holds = lambda r: (F.col("_before") <= r) & (r < F.col("_before") + F.col("_n"))
     asked = parts.where(reduce_all(lambda x, y: x | y, (holds(r(rank(p))) for p in at.values() for r in (F.floor, F.ceil))))
     asked = asked.select(*(F.col(n).alias(f"{n}b") for n in named), F.col("_place").alias("_placeb"), F.col("_before").alias("_first"), "_total")
-    counts = placed.join(asked, equal("b") & (F.col("_place") == F.col("_placeb"))).groupBy(*named, "_place", "_first", "_total", "_v").agg(F.count("*").alias("_n"))
+    counts = placed.join(asked, _equal(named, "b") & (F.col("_place") == F.col("_placeb"))).groupBy(*named, "_place", "_first", "_total", "_v").agg(F.count("*").alias("_n"))
     order = Window.partitionBy(*named, "_place").orderBy("_v").rowsBetween(up_to, 0)
     values = counts.withColumn("_before", F.col("_first") + F.sum("_n").over(order) - F.col("_n"))
     ends = [F.max(F.when(holds(r(rank(p))), F.col("_v"))).alias(f"{name}{side}") for name, p in at.items() for side, r in (("_a", F.floor), ("_b", F.ceil))]
@@ -99,8 +125,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], at: Mapping[str, float], val
         a, b, r = F.col(f"{name}_a"), F.col(f"{name}_b"), rank(p)
         return F.when(a == b, a).otherwise((F.ceil(r) - r) * a + (r - F.floor(r)) * b)
 
-    got = found.select(*(F.col(n).alias(f"{n}g") for n in named), *(shown(between(name, p), name) for name, p in at.items()))
-    return sketch.select(*named).join(got, equal("g"), "left").select(*(F.col(n).alias(k) for k, n in zip(keys, named, strict=True)), *at)
+    return found.select(*named, *(F.round(between(name, p), 6).alias(name) for name, p in at.items()))
 
 
 def histogram(df: DataFrame, keys: Sequence[str], width: float, value: str = "value") -> DataFrame:

@@ -22,7 +22,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local["):
+        if folder is None and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="obsframe-"))
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
