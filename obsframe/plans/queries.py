@@ -368,7 +368,7 @@ def k04_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     sketches.write_sketches(events(spark, sf_dir), path, ["event_type"])
     found = sketches.read_range(spark, path, "2024-01-08", "2024-01-21", {"p50": 0.5, "p90": 0.9}, ["event_type"])
     seen = select.filter_date(events(spark, sf_dir), datetime(2024, 1, 8), datetime(2024, 1, 22)).select("event_type", "value")
-    both = seen.join(found, "event_type")
+    both = found.join(seen.withColumnRenamed("event_type", "_type"), F.col("event_type").eqNullSafe(F.col("_type")))
     # three times the usual bound, which one in a hundred quantiles may miss
     slack = 3 * sketches.RANK_ERROR
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))

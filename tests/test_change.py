@@ -106,3 +106,13 @@ def test_distinct_counts_below_the_sketch_are_exact_however_merged(spark, tmp_pa
     df = spark.range(40_000).selectExpr("timestampadd(HOUR, cast(id % 240 as int), timestamp_ntz'2024-01-01') AS ts", "id % 4000 AS user_id", "1.0 AS value")
     sketches.write_sketches(df, str(tmp_path))
     assert sketches.read_range(spark, str(tmp_path), "2024-01-01", "2024-01-31", {}).first().sites == 4000
+
+
+def test_distinct_counts_of_many_sites_are_exact(spark, tmp_path):
+    df = spark.range(40_000).selectExpr("timestampadd(HOUR, cast(id % 240 as int), timestamp_ntz'2024-01-01') AS ts", "id % 9001 AS user_id", "1.0 AS value", "nullif(id % 2, 0) AS half")
+    sketches.write_sketches(df, str(tmp_path), ["half"])
+    got = sketches.read_range(spark, str(tmp_path), "2024-01-01", "2024-01-31", {}, ["half"]).collect()
+    assert sorted((r.half or 0, r.n, r.sites) for r in got) == [(0, 20_000, 9001), (1, 20_000, 9001)]
+    # a day that comes again without a site has none
+    sketches.write_sketches(spark.sql("SELECT timestamp_ntz'2024-01-05' AS ts, cast(null as long) AS user_id, 1.0 AS value, 1L AS half"), str(tmp_path), ["half"])
+    assert [tuple(r) for r in sketches.read_range(spark, str(tmp_path), "2024-01-05", "2024-01-05", {}, ["half"]).collect()] == [(1, 1, 1.0, 0)]
