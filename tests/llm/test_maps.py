@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from compare import database
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from obsframe.llm import language_id, quality, queries
@@ -139,3 +140,24 @@ def test_quality_of_odd_texts(spark, odd, none):
     assert quality.score_quality(none, model).collect() == []
     untaught = quality.fit(none, labels, fold("doc_id", 5) != 0)
     assert {round(r.score, 9) for r in quality.score_quality(odd, untaught).collect()} == {0.3}
+
+
+@pytest.mark.parametrize("rare", [3, 300])
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch, rare):
+    """Weights and cut against a fit of all rows in one place; rows beyond any sample's bound count."""
+    rng = random.Random(rare)
+    texts = [" ".join("".join(rng.choices("abcde" if k >= rare else "cdefg1", k=rng.randrange(1, 9))) for _ in range(rng.randrange(1, 30))) for k in range(900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, int(k >= rare)) for k in range(900)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(quality, "BLOCK_LEAST", 10_000)  # all bad rows are in all blocks, so all pairs are compared
+    model = quality.fit(docs, labels, F.lit(True))
+    x = quality.features(texts).astype(np.float32).astype(float)
+    assert np.allclose(model.mean, x.mean(0), atol=1e-9) and np.allclose(model.scale, x.std(0) + 1e-6, atol=1e-9)
+    z = model._standard(x)
+    d = (z[rare:, None] - z[None, :rare]).reshape(-1, z.shape[1])
+    slope = d.T @ (1 / (1 + np.exp(d @ model.weights))) / len(d) - 1e-3 * model.weights
+    assert np.abs(slope).max() < 1e-9
+    raw = z @ model.weights
+    right = lambda cut: (raw[rare:] >= cut).mean() + (raw[:rare] < cut).mean()
+    assert right(model.cut) == pytest.approx(max(map(right, raw)))
