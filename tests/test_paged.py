@@ -159,3 +159,14 @@ def test_alarms_come_when_a_day_has_passed(spark, tmp_path):
 def test_known_sites_are_watched_without_a_row(spark, tmp_path):
     batches = [[(1, at(2))], [(1, at(4, 2))]]
     assert alarms(spark, tmp_path, batches, [(1, date(2024, 1, 1)), (9, date(2024, 1, 2)), (9, date(2024, 1, 3)), (None, date(2024, 1, 1))]) == [(1, 1), (1, 3), (9, 2), (9, 3)]
+
+
+def test_alarms_of_many_sites_in_few_groups(spark, tmp_path, monkeypatch):
+    """Sites that share a group's state and timer, each with its own first day."""
+    monkeypatch.setattr(gap_alarms, "__defaults__", (None, "ts", 3))
+    batches = [[(s, at(d)) for s in range(300) for d in range(1 + 3 * b, 4 + 3 * b) if d > s % 5 and (s + d) % 4] for b in range(3)] + [[(0, at(11))]]
+    seen = {(s, t.day) for rows in batches for s, t in rows}
+    first = {s: min(d for x, d in seen if x == s) for s, _ in seen}
+    first |= {s: 1 for s in range(290, 310)}
+    known = [(s, date(2024, 1, 1)) for s in range(290, 310)]
+    assert alarms(spark, tmp_path, batches, known) == [(s, d) for s in sorted(first) for d in range(first[s], 11) if (s, d) not in seen]
