@@ -73,15 +73,15 @@ def learned_templates(places: DataFrame, least_documents: int) -> DataFrame:
     popular = F.broadcast(popular) if popular.count() <= BROADCAST_LEAVES else popular
     # one row for each distinct line of a leaf, however many documents hold it
     distinct = store(reached.join(popular, "_leaf").groupBy("_leaf", "_t").agg(F.count_distinct("_id").alias("_n"), F.first("_line").alias("_line")), "leaf-lines")
-    tokens = distinct.select("_leaf", "_t", "_n", F.posexplode(F.split("_line", " ")).alias("_place", "_token"))
-    known = tokens.groupBy("_leaf", "_place", "_token").agg(F.sum("_n").alias("_s")).where(F.col("_s") >= least_documents).select("_leaf", "_place", "_token", F.lit(True).alias("_known"))
-    spelled = F.when(F.col("_known"), F.col("_token")).otherwise(WILDCARD)
-    lined = tokens.join(known, ["_leaf", "_place", "_token"], "left").groupBy("_leaf", "_t").agg(F.array_sort(F.collect_list(F.struct("_place", spelled.alias("_s")))).alias("_p"))
-    words = F.transform("_p", lambda p: p["_s"])
-    kept = F.size(F.filter(words, lambda w: w != WILDCARD))
-    good = (kept >= LEAST_KEPT) & (kept >= KEPT_SHARE * F.size("_p"))
-    # led by its number of tokens, so that no template is a masked line
-    return lined.where(good).select("_t", F.xxhash64(F.size("_p"), F.array_join(words, " ")).alias("_g")).distinct()
+    words = distinct.select("_leaf", "_t", "_n", F.split("_line", " ").alias("_words"))
+    tokens = words.select("_leaf", "_t", "_n", F.size("_words").alias("_size"), F.posexplode("_words").alias("_place", "_token")).where(F.col("_token") != WILDCARD)
+    known = tokens.groupBy("_leaf", "_place", "_token").agg(F.sum("_n").alias("_s")).where(F.col("_s") >= least_documents).select("_leaf", "_place", "_token")
+    # by a shuffle at any size, as known tokens grow with the lines; tokens that aren't known are dropped here
+    kept = tokens.drop("_n").join(known.hint("merge"), ["_leaf", "_place", "_token"])
+    lined = kept.groupBy("_leaf", "_t", "_size").agg(F.array_sort(F.collect_list(F.struct("_place", "_token"))).alias("_p"))
+    good = (F.size("_p") >= LEAST_KEPT) & (F.size("_p") >= KEPT_SHARE * F.col("_size"))
+    # a template is its number of tokens and the known ones by place; all others are wildcards
+    return lined.where(good).select("_t", F.xxhash64("_size", "_p").alias("_g")).distinct()
 
 
 def drop_recurring_lines(df: DataFrame, least_documents: int = LEAST_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
