@@ -76,12 +76,27 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str, stages: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = STAGES) -> DataFrame:
-    """All `stages` over the documents of `sf_dir`; what lies between them goes to the shared checkpoint folder."""
+    """All `stages` over the documents of `sf_dir`; what lies between them goes to the shared checkpoint folder. A stage's own tables
+    have a folder of their own there, which goes once its result is written."""
     use_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    shared = sc.getCheckpointDir()
+    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir)
     for name, stage in stages:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        steps = f"{folder}/steps-{name}"
+        sc.setCheckpointDir(steps)
+        try:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        finally:
+            # Spark makes a new folder beside the one that was there
+            sc.setCheckpointDir(shared.rpartition("/")[0])
+            _remove(spark, steps)
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs

@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from test_similar import brute_least
 
 import corpus_pipeline
 from obsframe.llm import language_model, queries
-from obsframe.llm.common import Memo
+from obsframe.llm.common import Memo, cut, store
 from obsframe.llm.components import components
 from obsframe.llm.decontamination import find_overlaps
 from obsframe.llm.line_dedup import drop_recurring_lines
@@ -307,3 +308,17 @@ def test_pipeline_edges(spark, tmp_path):
     run = frame(spark, TEXTS)
     run.write.parquet(str(bench / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(bench)).count() > 0
+
+
+def test_pipeline_leaves_its_stages_results_only(spark, tmp_path):
+    frame(spark, TEXTS).write.parquet(str(tmp_path / "documents.parquet"))
+    files = []
+
+    def stage(spark, docs, folder):
+        kept = store(cut(docs), "kept")
+        files.extend(kept.inputFiles())
+        return kept
+
+    got = corpus_pipeline.run(spark, str(tmp_path), [("one", stage), ("two", stage)])
+    assert got.count() == len(TEXTS) and files and not any(Path(f.removeprefix("file://")).exists() for f in files)
+    assert "pipeline-" not in spark.sparkContext.getCheckpointDir()
