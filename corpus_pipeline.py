@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsframe.llm import language_id
-from obsframe.llm.common import documents, fold, free_name, use_checkpoint_dir
+from obsframe.llm.common import documents, fold, free_name, remove, use_checkpoint_dir
 from obsframe.llm.decontamination import find_overlaps
 from obsframe.llm.line_dedup import drop_recurring_lines
 from obsframe.llm.packing import pack
@@ -76,11 +76,6 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def run(spark: SparkSession, sf_dir: str, stages: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = STAGES) -> DataFrame:
     """All `stages` over the documents of `sf_dir`; what lies between them goes to the shared checkpoint folder. A stage's own tables
     have a folder of their own there, which goes once its result is written."""
@@ -97,6 +92,6 @@ def run(spark: SparkSession, sf_dir: str, stages: list[tuple[str, Callable[[Spar
         finally:
             # Spark makes a new folder beside the one that was there
             sc.setCheckpointDir(shared.rpartition("/")[0])
-            _remove(spark, steps)
+            remove(spark, steps)
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs

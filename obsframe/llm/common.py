@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: A query's shuffle files go at its end; without this they stay until the driver happens to collect garbage.
+FREES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -56,14 +59,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def store(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write `df` to the shared checkpoint folder as compressed Parquet and return a reader of it: for
-    tables with texts, and for those of which later steps read some columns only."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+def store(df: DataFrame, name: str = "table", folder: str | None = None) -> DataFrame:
+    """Write `df` to the shared checkpoint folder, or to `folder`, as compressed Parquet and return a reader of it: for
+    tables with texts, and for those of which later steps read some columns only. Its shuffle files go when it is written."""
+    path = f"{folder}/{name}" if folder else shared_path(df.sparkSession, name)
+    conf = df.sparkSession.conf
+    before = conf.get(FREES_SHUFFLES, "false")
+    conf.set(FREES_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(FREES_SHUFFLES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of tables that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `limit` bytes of text, one row at least."""
     for batch in batches:

@@ -11,10 +11,10 @@ that recur just as they are but for digits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsframe.llm.common import store
+from obsframe.llm.common import remove, shared_path, store
 
 DEPTH = 3
 WILDCARD = "<*>"
@@ -24,6 +24,8 @@ LEAST_DOCUMENTS = 10
 LEAST_KEPT, KEPT_SHARE = 5, 0.7
 #: Leaves that are broadcast at most; more are joined by a shuffle.
 BROADCAST_LEAVES = 1_000_000
+#: Distinct lines of a leaf that one task holds at most.
+LEAF_LINES = 10_000
 
 
 _SPACES = "[ \\t\\x0B\\f\\r]+"
@@ -65,23 +67,56 @@ def _without(text: Column, gone: Column) -> Column:
     return F.get(F.transform(bound, lambda b: F.array_join(F.transform(b["kept"], lambda at: F.get(b["lines"], at)), "\n")), F.lit(0))
 
 
-def learned_templates(places: DataFrame, least_documents: int) -> DataFrame:
+def learned_templates(places: DataFrame, least_documents: int, folder: str) -> DataFrame:
     """(_t, _g): for masked lines (`_t` their hash) the hashes of templates with learned wildcards."""
     reached = places.select("_id", "_t", "_line", F.explode("_leaves").alias("_leaf"))
-    popular = store(reached.groupBy("_leaf").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_documents).select("_leaf"), "leaves")
-    # few enough to broadcast, or else the join decides by itself
-    popular = F.broadcast(popular) if popular.count() <= BROADCAST_LEAVES else popular
+    popular = store(reached.groupBy("_leaf").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_documents).select("_leaf"), "leaves", folder)
     # one row for each distinct line of a leaf, however many documents hold it
-    distinct = store(reached.join(popular, "_leaf").groupBy("_leaf", "_t").agg(F.count_distinct("_id").alias("_n"), F.first("_line").alias("_line")), "leaf-lines")
-    words = distinct.select("_leaf", "_t", "_n", F.split("_line", " ").alias("_words"))
-    tokens = words.select("_leaf", "_t", "_n", F.size("_words").alias("_size"), F.posexplode("_words").alias("_place", "_token")).where(F.col("_token") != WILDCARD)
-    known = tokens.groupBy("_leaf", "_place", "_token").agg(F.sum("_n").alias("_s")).where(F.col("_s") >= least_documents).select("_leaf", "_place", "_token")
-    # by a shuffle at any size, as known tokens grow with the lines; tokens that aren't known are dropped here
-    kept = tokens.drop("_n").join(known.hint("merge"), ["_leaf", "_place", "_token"])
-    lined = kept.groupBy("_leaf", "_t", "_size").agg(F.array_sort(F.collect_list(F.struct("_place", "_token"))).alias("_p"))
+    if popular.count() <= BROADCAST_LEAVES:
+        distinct = reached.join(F.broadcast(popular), "_leaf").groupBy("_leaf", "_t").agg(F.count_distinct("_id").alias("_n"), F.first("_line").alias("_line"))
+    else:
+        # numbers are joined by a shuffle, and then each line is sent once and not once a leaf
+        pairs = store(reached.drop("_line").join(popular, "_leaf").groupBy("_leaf", "_t").agg(F.count_distinct("_id").alias("_n")), "pairs", folder)
+        distinct = pairs.join(places.groupBy("_t").agg(F.first("_line").alias("_line")), "_t").select("_leaf", "_t", "_n", "_line")
+    distinct = store(distinct, "leaf-lines", folder)
+    large = store(distinct.groupBy("_leaf").count().where(F.col("count") > LEAF_LINES).select("_leaf"), "large-leaves", folder)
+    # a leaf of few lines is sent to one task, which counts its tokens
+    small = _tokens(distinct.join(F.broadcast(large), "_leaf", "left_anti").repartition("_leaf"))
+    kept = small.withColumn("_s", F.sum("_n").over(Window.partitionBy("_leaf", "_token"))).where(F.col("_s") >= least_documents)
+    lined = _templates(kept)
+    if not large.isEmpty():
+        # others are counted token by token; by a shuffle at any size, as known tokens grow with the lines
+        tokens = _tokens(distinct.join(F.broadcast(large), "_leaf"))
+        known = tokens.groupBy("_leaf", "_token").agg(F.sum("_n").alias("_s")).where(F.col("_s") >= least_documents).select("_leaf", "_token")
+        lined = lined.union(_templates(tokens.join(known.hint("merge"), ["_leaf", "_token"])))
+    return lined.distinct()
+
+
+def _tokens(lines: DataFrame) -> DataFrame:
+    """For each line of a leaf its tokens but wildcards, a hash of place and token each."""
+    words = lines.select("_leaf", "_t", "_n", F.split("_line", " ").alias("_words"))
+    places = words.select("_leaf", "_t", "_n", F.size("_words").alias("_size"), F.posexplode("_words").alias("_place", "_word")).where(F.col("_word") != WILDCARD)
+    return places.select("_leaf", "_t", "_n", "_size", F.xxhash64("_place", "_word").alias("_token"))
+
+
+def _templates(known: DataFrame) -> DataFrame:
+    """(_t, _g) of the lines that keep enough known tokens: a template is its number of tokens and the known
+    ones by place; all others are wildcards."""
+    lined = known.groupBy("_leaf", "_t", "_size").agg(F.array_sort(F.collect_list("_token")).alias("_p"))
     good = (F.size("_p") >= LEAST_KEPT) & (F.size("_p") >= KEPT_SHARE * F.col("_size"))
-    # a template is its number of tokens and the known ones by place; all others are wildcards
-    return lined.where(good).select("_t", F.xxhash64("_size", "_p").alias("_g")).distinct()
+    return lined.where(good).select("_t", F.xxhash64("_size", "_p").alias("_g"))
+
+
+def _recurring(places: DataFrame, least_documents: int, folder: str) -> DataFrame:
+    """(_id, _text, _gone): of each text with recurring lines the places of those that go."""
+    learned = store(learned_templates(places, least_documents, folder), "templates", folder)
+    often = lambda of, t: of.groupBy(t).agg(F.count_distinct("_id").alias("_n"), F.min("_id").alias("_first")).where(F.col("_n") >= least_documents).select(t, "_first")
+    plain = often(places.select("_id", "_t"), "_t")
+    varied = often(places.select("_id", "_t").join(learned, "_t"), "_g").join(learned, "_g").select("_t", "_first")
+    # written on its own, so that Spark can split the large partitions of the join behind it
+    common = store(plain.union(varied).distinct(), "common", folder)
+    later = places.select("_id", "_text", "_at", "_t").join(common, "_t").where(~F.col("_id").eqNullSafe(F.col("_first")))
+    return later.groupBy("_id", "_text").agg(F.collect_set("_at").alias("_gone"))
 
 
 def drop_recurring_lines(df: DataFrame, least_documents: int = LEAST_DOCUMENTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,18 +144,17 @@ def drop_recurring_lines(df: DataFrame, least_documents: int = LEAST_DOCUMENTS,
     # columns of their own: inside a condition they would be worked out once a use
     count, lead = leading(F.col("_line"))
     split = split.select("*", F.xxhash64("_line").alias("_t"), count.alias("_count"), lead.alias("_lead"))
-    places = store(split.select("_id", "_text", "_at", "_line", "_t", leaves(F.col("_count"), F.col("_lead")).alias("_leaves")), "lines")
-    learned = store(learned_templates(places, least_documents), "templates")
-    often = lambda of, t: of.groupBy(t).agg(F.count_distinct("_id").alias("_n"), F.min("_id").alias("_first")).where(F.col("_n") >= least_documents).select(t, "_first")
-    plain = often(places.select("_id", "_t"), "_t")
-    varied = often(places.select("_id", "_t").join(learned, "_t"), "_g").join(learned, "_g").select("_t", "_first")
-    # written on its own, so that Spark can split the large partitions of the join behind it
-    common = store(plain.union(varied).distinct(), "common")
-    later = places.select("_id", "_text", "_at", "_t").join(common, "_t").where(~F.col("_id").eqNullSafe(F.col("_first")))
-    gone = later.groupBy("_id", "_text").agg(F.collect_set("_at").alias("_gone"))
+    lines = split.select("_id", "_text", "_at", "_line", "_t", leaves(F.col("_count"), F.col("_lead")).alias("_leaves"))
+    folder = shared_path(df.sparkSession, "line-dedup")
+    try:
+        gone = store(_recurring(store(lines, "lines", folder), least_documents, folder), "gone")
+    finally:
+        # before the texts are joined, so that they are never on disk beside their lines
+        remove(df.sparkSession, folder)
     # columns by their table, as `df` may have any names
     text = df[text_col]
-    rows = df.join(gone, df[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(text) == gone["_text"]), "left")
+    # by a shuffle at any size, as the texts with recurring lines grow with the input
+    rows = df.join(gone.hint("merge"), df[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(text) == gone["_text"]), "left")
     total = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     left = F.when(gone["_gone"].isNull(), text).otherwise(_without(text, gone["_gone"]))
     dropped = F.coalesce(F.size(gone["_gone"]), F.lit(0)).cast("long")

@@ -1,11 +1,13 @@
 """The log-template tree: wildcards learned by place, and texts of very many lines."""
 
 import time
+from pathlib import Path
 
+import pytest
 from compare import assert_same, database
 from test_joins import frame
 
-from obsframe.llm import queries
+from obsframe.llm import line_dedup, queries
 from obsframe.llm.line_dedup import drop_recurring_lines
 
 
@@ -33,3 +35,28 @@ def test_very_many_lines(spark):
     got = {r.doc_id: r for r in drop_recurring_lines(frame(spark, texts)).collect()}
     assert time.perf_counter() - began < 60
     assert (got[3].n_lines, got[3].n_dropped, got[0].n_dropped) == (n, n // 2, 0) and got[3].text.count("\n") == n // 2 - 1
+
+
+@pytest.mark.parametrize("bounds", [{"BROADCAST_LEAVES": 0}, {"LEAF_LINES": 3}, {"BROADCAST_LEAVES": 0, "LEAF_LINES": 0}])
+def test_more_leaves_or_larger_ones_than_one_task_takes(spark, monkeypatch, bounds):
+    for name, bound in bounds.items():
+        assert hasattr(line_dedup, name)
+        monkeypatch.setattr(line_dedup, name, bound)
+    folder = "/root/testdata/sf0.01"
+    assert_same(queries.op9_line_dedup(spark, folder), database(folder), queries.SQL["op9_line_dedup"])
+
+
+def test_lines_go_before_texts_are_joined(spark):
+    """Neither the table of lines nor a finished step's shuffle files lie beside the shuffle of the texts."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for d in manager.localDirs() for f in Path(d.getPath()).rglob("shuffle_*.data")}
+    shared = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before, held = shuffled(), set(shared.iterdir())
+    texts = [(k, "\n".join(f"user u{'abcdefghijklmn'[k]} logged in from {w} at noon" for w in "pqrs")) for k in range(14)]
+    df = drop_recurring_lines(frame(spark, texts))
+    assert [p.name.partition("-")[0] for p in set(shared.iterdir()) - held] == ["gone"]
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert [r.n_dropped for r in df.orderBy("doc_id").collect()] == [0] + [4] * 13
