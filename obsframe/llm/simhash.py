@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from obsframe.llm.common import cut, field, slices, store, texts_of
+from obsframe.llm.common import cut, field, remove, shared_path, slices, store, texts_of
 from obsframe.llm.components import components
 
 BITS = 64
@@ -340,16 +340,21 @@ def similar_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, keys:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     dealt = lambda rows, *more: rows.repartition("key").sortWithinPartitions("key", "size", "one", "name").select("key", "size", "name", "one", "two", *more)
-    sketches = store(texts.mapInArrow(sketch, schema))
-    nodes = store(sketches.groupBy("name").agg(F.min(id_col).alias("_least"), *(F.first(c).alias(c) for c in ("size", "one", "two", "least", "_hash"))))
-    shards = dealt(nodes.select(F.explode("least").alias("key"), "size", "name", "one", "two"))
-    asked = store(shards.mapInArrow(ask, "key long, size long, name long, one long, two long"), "asked")
-    # one text for each set that has a neighbour: texts that share a hash of 64 bits but not the set don't agree on the name
-    wanted = nodes.join(asked.select("name").distinct(), "name").select("name", "_hash")
-    one = texts.join(wanted, "_hash").groupBy("name").agg(F.min("_text").alias("_text"))
-    sets = one.mapInArrow(spell, "name long, set binary")
-    links = cut(dealt(asked.join(sets, "name"), "set").mapInArrow(link, "a long, b long").distinct())
-    roots = components(links).withColumnRenamed("node", "name")
-    rooted = cut(nodes.select("name", "_least").join(roots, "name", "left").select("name", F.coalesce("root", "name").alias("root"), "_least"))
+    spark = df.sparkSession
+    sketches, folder = store(texts.mapInArrow(sketch, schema), "sketches"), shared_path(spark, "similar")
+    try:
+        nodes = store(sketches.groupBy("name").agg(F.min(id_col).alias("_least"), *(F.first(c).alias(c) for c in ("size", "one", "two", "least", "_hash"))), "nodes", folder)
+        shards = dealt(nodes.select(F.explode("least").alias("key"), "size", "name", "one", "two"))
+        asked = store(shards.mapInArrow(ask, "key long, size long, name long, one long, two long"), "asked", folder)
+        # one text for each set that has a neighbour: texts that share a hash of 64 bits but not the set don't agree on the name
+        wanted = nodes.join(asked.select("name").distinct(), "name").select("name", "_hash")
+        one = texts.join(wanted, "_hash").groupBy("name").agg(F.min("_text").alias("_text"))
+        # written on their own, so that the shuffle of the texts goes before that of the sets begins
+        sets = store(one.mapInArrow(spell, "name long, set binary"), "sets", folder)
+        links = store(dealt(asked.join(sets, "name"), "set").mapInArrow(link, "a long, b long").distinct(), "links", folder)
+        roots = components(links).withColumnRenamed("node", "name")
+        rooted = store(nodes.select("name", "_least").join(roots, "name", "left").select("name", F.coalesce("root", "name").alias("root"), "_least"), "rooted")
+    finally:
+        remove(spark, folder)
     named = rooted.join(rooted.groupBy("root").agg(F.min("_least").alias("component_id")), "root").select("name", "component_id")
     return sketches.select(id_col, "name").join(named, "name").select(id_col, "component_id")
