@@ -24,10 +24,12 @@ from pyspark.sql import types as T
 
 from obsframe.llm.common import field, store
 
-#: Quadrature points on the upper half of a contour, eigenvalues of a slice at most (a cluster may have more), iterations.
+#: Quadrature points on the upper half of a contour, eigenvalues of a slice at most (a cluster may have more), iterations,
+#: and iterations after which points and vectors are doubled.
 POINTS = 8
 SLICE = 8
 ITERATIONS = 60
+PATIENCE = 12
 #: Dimensions at most: the covariance is sent to each task.
 MOST_DIMENSIONS = 4096
 #: Entries beyond this size count as this size, so that integers stay exact.
@@ -88,13 +90,14 @@ def slices_of(v: np.ndarray, most: int) -> list[tuple[float, float, int]]:
     gap = lambda k: place(k) - place(k + 1)
     found, done = [], 0
     while done < min(most, positive):
-        span = lambda k: place(done + 1) - place(k + 1)  # noqa: B023, E731
+        inner = lambda k: place(done + 1) - place(k)  # noqa: B023, E731
+        margin = lambda k: min(gap(k), gap(done) if done else np.inf) / 2  # noqa: B023, E731
         clear = [k for k in range(done + 1, min(done + SLICE, positive) + 1) if gap(k) > 16 * least]
-        # as many as have a gap behind them that is a fair part of the interval, or else those with the fairest
-        at = max(clear, key=lambda k: (min(gap(k) / span(k), 0.02), k), default=min(done + SLICE, positive))
+        # as many as have gaps about them that are a fair part of the interval, or else those with the fairest
+        at = max(clear, key=lambda k: (min(margin(k) / (inner(k) + margin(k)), 0.02), k), default=min(done + SLICE, positive))
         while at < positive and gap(at) <= 16 * least:  # ties go together
             at += 1
-        low, high = place(at) - gap(at) / 2, place(done + 1) + min(gap(done) if done else np.inf, max(span(at), least)) / 2
+        low, high = place(at) - margin(at), place(done + 1) + margin(at)
         if inertia.above(high) != done or inertia.above(low) != at:
             raise NotConverged(f"no clear gap around the eigenvalues {done + 1} to {at}")
         found.append((float(low), float(high), at - done))
@@ -106,27 +109,36 @@ def feast(v: np.ndarray, low: float, high: float, count: int, seed: int = 1) ->
     """The `count` eigenvalues of `v` between `low` and `high`, and their eigenvectors as columns.
 
     Each iteration applies the spectral projector of the interval, as a Gauss-Legendre quadrature of resolvents over a
-    circle, to a block of vectors somewhat wider than the count, and takes Ritz pairs of the result."""
+    circle, to a block of vectors somewhat wider than the count, and takes Ritz pairs of the result. Where eigenvalues
+    crowd outside, the block may hold a mixture of those above and below, whose Ritz value lies inside and belongs to
+    no eigenvalue: the pairs with the least residuals are taken, and every PATIENCE iterations the quadrature gets twice
+    the points and the block twice the vectors, up to all."""
     n = len(v)
-    width = min(n, count + max(4, count // 2))
+    points, width = POINTS, min(n, count + max(4, count // 2))
     centre, radius = (low + high) / 2, (high - low) / 2
-    points, weights = np.polynomial.legendre.leggauss(POINTS)
-    turns = np.exp(-0.5j * np.pi * (points - 1))
-    shifted = [(0.5 * w * radius * t, (centre + radius * t) * np.eye(n) - v) for w, t in zip(weights, turns, strict=True)]
-    block = np.random.default_rng(seed).standard_normal((n, width))
+    rng = np.random.default_rng(seed)
+    block = rng.standard_normal((n, width))
     norm, before = max(float(np.abs(v).sum(1).max()), np.finfo(float).tiny), np.inf
-    for _ in range(ITERATIONS):
-        projected = sum((w * np.linalg.solve(a, block)).real for w, a in shifted)
+    for k in range(ITERATIONS):
+        if k and k % PATIENCE == 0:
+            points, width = 2 * points, min(n, 2 * width)
+            block = np.c_[block, rng.standard_normal((n, width - block.shape[1]))]
+        projected = np.zeros(block.shape)
+        for x, w in zip(*np.polynomial.legendre.leggauss(points), strict=True):
+            turn = radius * np.exp(-0.5j * np.pi * (x - 1))
+            projected += (0.5 * w * turn * np.linalg.solve((centre + turn) * np.eye(n) - v, block)).real
         basis, sizes, _ = np.linalg.svd(projected, full_matrices=False)
         basis = basis[:, sizes > 1e-13 * sizes.max(initial=0)]
         values, ritz = np.linalg.eigh(basis.T @ v @ basis)
         block = basis @ ritz
-        inside = (values > low) & (values < high)
-        error = np.abs(v @ block[:, inside] - block[:, inside] * values[inside]).max(initial=0) / norm
-        if inside.sum() == count and error < 1e-13 * n and error >= 0.5 * before:  # rounding is all that is left
-            return values[inside], block[:, inside]
-        before = error if inside.sum() == count else np.inf
-    raise NotConverged(f"{inside.sum()} of {count} eigenvalues between {low} and {high}, residual {error}")
+        residuals = np.abs(v @ block - block * values).max(axis=0, initial=0) / norm
+        inside = np.flatnonzero((values > low) & (values < high))
+        best = np.sort(inside[np.argsort(residuals[inside], kind="stable")[:count]])
+        error = residuals[best].max(initial=0) if len(best) == count else np.inf
+        if error < 1e-13 * n and error >= 0.5 * before:  # rounding is all that is left
+            return values[best], block[:, best]
+        before = error
+    raise NotConverged(f"{len(inside)} of {count} eigenvalues between {low} and {high}, residuals {residuals[inside]}")
 
 
 def principal_components(spark: SparkSession, v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:

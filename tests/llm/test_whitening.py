@@ -128,3 +128,38 @@ def test_inertia_counts_every_eigenvalue():
 def test_a_missed_eigenvalue_is_told():
     with pytest.raises(whitening.NotConverged):
         whitening.feast(np.diag([1.0, 2.0, 3.0, 10.0]), 1.5, 3.5, 3)
+
+
+CROWDED = {
+    "a crowd above a slice": [*(10 - 1e-6 * np.arange(9)), *np.arange(9.0, 0.0, -1), *np.linspace(0.1, 0.9, 40)], "groups of ties": [5.0] * 3 + [4.0] * 10 + [3.0] * 7 + [2.0] * 6 + [1.0] * 5,
+    "groups of near ties": [s + 1e-13 * k for s in (5, 4, 3, 2, 1) for k in range(9)],
+}
+LARGE = [(102_564, 4, 367), (615_384, 24, 38), (6_000_000, 240, 125)]
+
+
+def large_table(n, families, seed):
+    """A covariance as unit vectors of 64 entries have it: a bulk that n vectors narrow, and a direction for each family of like vectors."""
+    rng = np.random.default_rng(seed)
+    noise = rng.standard_normal((64, 64))
+    v = 64 * (np.eye(64) + (noise + noise.T) / np.sqrt(2 * n))
+    for _ in range(families):
+        u = rng.standard_normal(64)
+        u /= np.linalg.norm(u)
+        v += 82 / families * np.outer(u, u)
+    return (v + v.T) / 2
+
+
+@pytest.mark.parametrize("v", [*(matrix(values) for values in CROWDED.values()), *(large_table(*x) for x in LARGE)], ids=[*CROWDED, *map(str, LARGE)])
+def test_eigenvalues_that_crowd_about_a_slice(spark, v):
+    v = (v + v.T) / 2
+    want, norm = np.linalg.eigvalsh(v)[::-1][:16], np.abs(v).sum(1).max()
+    values, components = whitening.principal_components(spark, v, 16)
+    assert len(values) == 16 and np.abs(values - want).max() < 1e-14 * len(v) * norm
+    assert np.abs(components @ components.T - np.eye(16)).max() < 1e-13
+    assert np.abs(components @ v - values[:, None] * components).max() < 1e-13 * len(v) * norm
+
+
+def test_a_table_with_a_crowd_of_eigenvalues(spark, tmp_path):
+    sizes = [*range(1_000_000, 1_000_009), *range(900_000, 0, -100_000)]
+    rows = [(2 * k + (sign > 0), [sign * a / 64 if i == k else 0.0 for i in range(len(sizes))], 0) for k, a in enumerate(sizes) for sign in (-1, 1)]
+    check(rows, run(spark, tmp_path, rows))
